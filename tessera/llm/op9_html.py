@@ -53,6 +53,10 @@ LABELLED = [
     [(0, "i", 3, 3, 0), (0, "p", 2, 1, 0), (0, "h", 5, 0, 1), (0, "p", 17, 0, 1), (0, "p", 25, 1, 1), (0, "i", 3, 3, 0), (0, "i", 4, 4, 0), (0, "p", 6, 1, 0)],
     [(1, "h", 3, 0, 1), (1, "p", 2, 0, 1), (2, "i", 1, 1, 0), (2, "i", 2, 2, 0), (1, "p", 40, 0, 1), (1, "p", 1, 0, 1), (2, "p", 3, 3, 0), (2, "p", 4, 4, 0)],
     [(2, "i", 3, 3, 0), (1, "p", 1, 0, 1), (2, "i", 1, 1, 0), (1, "i", 3, 0, 1), (1, "p", 4, 0, 1), (2, "i", 2, 2, 0), (2, "p", 6, 0, 0), (1, "p", 5, 1, 1), (2, "i", 1, 1, 0)],
+    [(2, "i", 1, 1, 0), (1, "h", 3, 0, 1), (1, "p", 2, 0, 1)],
+    [(1, "p", 4, 0, 1), (1, "i", 1, 0, 1)],
+    [(1, "h", 6, 0, 1), (1, "p", 1, 0, 1), (1, "p", 6, 0, 1)],
+    [(1, "p", 100, 0, 1), (1, "p", 5, 0, 1)],
     [(2, "h", 3, 0, 0), (2, "p", 30, 0, 0), (2, "p", 80, 3, 0), (2, "i", 9, 9, 0), (2, "p", 4, 0, 0)],
     [(1, "h", 9, 0, 1), (1, "p", 11, 0, 1), (1, "p", 4, 4, 0), (1, "p", 2, 2, 0), (1, "p", 70, 10, 1), (1, "i", 5, 5, 0), (1, "p", 8, 1, 1)],
     [(0, "p", 1, 1, 0), (0, "p", 4, 0, 0), (0, "p", 3, 3, 0), (0, "p", 120, 5, 1), (0, "p", 2, 0, 1), (0, "p", 90, 0, 1), (0, "p", 3, 0, 0), (0, "p", 5, 5, 0)],
