@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .op1_pii import op1_pii
 from .op4_simhash import op4_simhash
 from .op6_bpe import op6_bpe
 from .op8_language import op8_language
 from .op9_html import op9_html
 
-QUERIES = {"op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op8_language": op8_language, "op9_html": op9_html}
+QUERIES = {"op1_pii": op1_pii, "op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op8_language": op8_language, "op9_html": op9_html}
 
 ORACLES: dict[str, str] = {}
