@@ -92,7 +92,7 @@ class Scratch:
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "snappy").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
