@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .op1_pii import op1_pii
 from .op4_simhash import op4_simhash
+from .op5_embedding import op5_embedding
 from .op6_bpe import op6_bpe
 from .op7_fingerprint import op7_fingerprint
 from .op8_language import op8_language
 from .op9_html import op9_html
 
-QUERIES = {"op1_pii": op1_pii, "op4_simhash": op4_simhash, "op6_bpe": op6_bpe, "op7_fingerprint": op7_fingerprint, "op8_language": op8_language, "op9_html": op9_html}
+QUERIES = {"op1_pii": op1_pii, "op4_simhash": op4_simhash, "op5_embedding": op5_embedding, "op6_bpe": op6_bpe, "op7_fingerprint": op7_fingerprint, "op8_language": op8_language, "op9_html": op9_html}
 
 ORACLES: dict[str, str] = {}
