@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +98,25 @@ class Scratch:
     def drop(self, path: str) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+#: Bits of a map that thins rows before they are shuffled. More keys only make it thin less; the exact join follows.
+MAP_BITS = 1 << 20
+
+
+def bit_map(hashes: DataFrame) -> Column:
+    """A literal array of longs with the bit of each hash (the only column) set. The driver gets MAP_BITS / 64 rows at most."""
+    (name,) = hashes.columns
+    bit = F.pmod(F.col(f"`{name}`"), F.lit(MAP_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
+    rows = hashes.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("at")).agg(F.bit_or(one).alias("bits")).collect()
+    longs = [0] * (MAP_BITS // 64)
+    for r in rows:
+        if r["at"] is not None:
+            longs[r["at"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+
+
+def in_bit_map(seen: Column, hashed: Column) -> Column:
+    bit = F.pmod(hashed, F.lit(MAP_BITS))
+    return F.call_function("shiftright", F.element_at(seen, (F.floor(bit / 64) + 1).cast("int")), (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bit_map, in_bit_map, table
 
 #: The kinds' patterns, made linear: a match begins where the last one ended or where no character stands that could extend it to the left.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -39,8 +39,6 @@ REACH = 160
 MIN_TEXTS = 2
 GENERALISE = 0.7
 REMOVE = 0.9
-#: Bits of the map that thins the corpus's words; more candidate terms only make it thin less.
-MAP_BITS = 1 << 20
 #: What stands for spans in sanitised texts.
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "term": ""}
 NO_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -108,16 +106,6 @@ def near_words(text: Column, span: Column) -> Column:
     return F.concat(F.reverse(F.slice(F.reverse(words(before)), 1, NEAR)), F.slice(words(after), 1, NEAR))
 
 
-def bit_map(terms: DataFrame) -> Column:
-    """A literal array of MAP_BITS bits with those of the hashes of all terms set; one row for each long reaches the driver, MAP_BITS / 64 at most."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS))
-    rows = terms.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))).alias("bits")).collect()
-    longs = [0] * (MAP_BITS // 64)
-    for r in rows:
-        longs[r["at"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
-
-
 def disclosed(base: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(key, term, disclosure): terms that give away an entity near them, by document."""
     scratch = Scratch(base.sparkSession)
@@ -128,11 +116,9 @@ def disclosed(base: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     pairs = near.where("term IS NOT NULL").groupBy("entity", "term", "__hash").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
     pairs, _ = scratch.write(pairs)
     # Corpus counts of the candidate terms: words of all texts, thinned before they are shuffled.
-    seen = bit_map(pairs.select("term").distinct())
-    word = F.col("term")
-    bit = F.pmod(F.xxhash64(word), F.lit(MAP_BITS))
+    seen = bit_map(pairs.select(F.xxhash64("term")).distinct())
     words = docs.select("__key", F.explode(F.split(F.lower(F.col(text)), rf"[^{LETTERS}]+")).alias("term"))
-    words = words.where(F.call_function("shiftright", F.element_at(seen, (F.floor(bit / 64) + 1).cast("int")), (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    words = words.where(in_bit_map(seen, F.xxhash64("term")))
     of_term = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.select("__key").distinct().count()
     n = F.lit(float(max(2, total)))
