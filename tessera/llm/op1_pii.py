@@ -7,8 +7,7 @@ documents of the whole corpus, n_te those where t stands within NEAR words of e.
 reads t knows e. A pair must come from MIN_TEXTS different texts, so that a copied document proves nothing.
 In a document with e near t every t is a span: removed from disclosure REMOVE on, generalised from GENERALISE on.
 
-Scale: base and spans are made row by row. What is shuffled are (document, entity, term) triples, distinct before they
-are counted, and the texts of documents with entities. Corpus counts of terms come from one pass over all words, which a
+Scale: base and spans are made row by row. What is shuffled are (document, entity, term) triples near entities, counts of terms, and the texts of documents with entities. Corpus counts of terms come from one pass over all words, which a
 bit map of fixed size thins to the candidate terms before any shuffle.
 
 Null texts count as empty. Offsets are code points, ends exclusive. Matches of a kind are leftmost and don't
@@ -109,21 +108,23 @@ def near_words(text: Column, span: Column) -> Column:
 def disclosed(base: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(key, term, disclosure): terms that give away an entity near them, by document."""
     scratch = Scratch(base.sparkSession)
-    held = base.where(F.size("__spans") > 0).select("__key", "__hash", "__text", F.explode("__spans").alias("span"))
-    near = held.select("__key", "__hash", entity(F.col("span")).alias("entity"), F.explode_outer(near_words(F.col("__text"), F.col("span"))).alias("term")).distinct()
-    near, path = scratch.write(near)
-    of_entity = near.select("__key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.where("term IS NOT NULL").groupBy("entity", "term", "__hash").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    pairs, _ = scratch.write(pairs)
+    pair = lambda span: F.transform(near_words(F.col("__text"), span), lambda t: F.struct(entity(span).alias("entity"), t.alias("term")))
+    bare = F.transform("__spans", lambda span: F.struct(entity(span).alias("entity"), F.lit(None).cast("string").alias("term")))
+    held = base.where(F.size("__spans") > 0).select("__key", "__hash", F.explode(F.array_distinct(F.concat(bare, F.flatten(F.transform("__spans", pair))))).alias("pair"))
+    # m: the rows of equal id and text; they all count as documents.
+    near, _ = scratch.write(held.groupBy("__key", "__hash", "pair.entity", "pair.term").agg(F.count("*").alias("m")))
+    of_entity = near.where("term IS NULL").groupBy("entity").agg(F.sum("m").alias("n_e"))
+    pairs = near.where("term IS NOT NULL").groupBy("entity", "term", "__hash").agg(F.sum("m").alias("m")).groupBy("entity", "term").agg(F.sum("m").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
+    # A term stands in no fewer documents than those where it is near any entity: what can't reach the threshold even so goes first.
+    near_any = near.where("term IS NOT NULL").select("__key", "term", "m").distinct().groupBy("term").agg(F.sum("m").alias("n_t"))
+    n = F.lit(float(max(2, docs.count())))
+    reveal = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9))
+    pairs, _ = scratch.write(pairs.join(of_entity, "entity").join(near_any, "term").where(reveal >= GENERALISE).select("entity", "term", "n_te", "n_e"))
     # Corpus counts of the candidate terms: words of all texts, thinned before they are shuffled.
     seen = bit_map(pairs.select(F.xxhash64("term")).distinct())
-    words = docs.select("__key", F.explode(F.split(F.lower(F.col(text)), rf"[^{LETTERS}]+")).alias("term"))
-    words = words.where(in_bit_map(seen, F.xxhash64("term")))
-    of_term = words.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.select("__key").distinct().count()
-    n = F.lit(float(max(2, total)))
-    reveal = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9))
-    known = pairs.join(of_entity, "entity").join(of_term, "term").select("entity", "term", F.least(reveal, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), rf"[^{LETTERS}]+"))).alias("term"))
+    of_term = words.where(in_bit_map(seen, F.xxhash64("term"))).groupBy("term").agg(F.count("*").alias("n_t"))
+    known = pairs.join(of_term, "term").select("entity", "term", F.least(reveal, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
     return near.join(known, ["entity", "term"]).groupBy("__key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
