@@ -33,6 +33,9 @@ WEIGHTS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 PER_DOMAIN = 1500
 #: Words of the classifier.
 WORDS = 1000
+#: A word tells something only if so many documents of the sample have it.
+SUPPORT = 8
+SURE = 20.0
 LIMIT = 12.0
 ROUNDS = 40
 TOLERANCE = 1e-9
@@ -72,14 +75,17 @@ def fit(docs: DataFrame, labels: DataFrame, id: str, text: str) -> tuple[list[fl
         sample = sample.union(p)
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id")
     seen = rows.select("domain", F.explode(features(F.col("text"))).alias("word"))
-    seen = seen.groupBy("word").pivot("domain", list(DOMAINS)).count().na.fill(0)
+    seen = seen.groupBy("word").pivot("domain", list(DOMAINS)).count().na.fill(0).where(sum(map(F.col, DOMAINS), F.lit(0)) >= SUPPORT)
     total = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     size = [total.get(d, 0) for d in DOMAINS]
     share = [(F.col(d) + 0.5) / (n + 1.0) for d, n in zip(DOMAINS, size, strict=True)]
     # How much a word tells: its information about the domain, each domain that was seen counting the same.
     mean = sum(s for s, n in zip(share, size, strict=True) if n) / max(1, sum(n > 0 for n in size))
-    told = sum((s * F.log(s / mean) + (1 - s) * F.log((1 - s) / (1 - mean)) for s, n in zip(share, size, strict=True) if n), F.lit(0.0))
-    best = seen.select("word", *[s.alias(d) for s, d in zip(share, DOMAINS, strict=True)], told.alias("told")).orderBy(F.round("told", 9).desc(), "word").limit(WORDS).collect()
+    parts = [s * F.log(s / mean) + (1 - s) * F.log((1 - s) / (1 - mean)) for s in share]
+    told = sum((p for p, n in zip(parts, size, strict=True) if n), F.lit(0.0))
+    # Chance differences of many words would add up, so a word must differ significantly between domains (G test).
+    sure = 2 * sum((p * n for p, n in zip(parts, size, strict=True)), F.lit(0.0)) >= SURE
+    best = seen.where(sure).select("word", *[s.alias(d) for s, d in zip(share, DOMAINS, strict=True)], told.alias("told")).orderBy(F.round("told", 9).desc(), "word").limit(WORDS).collect()
     labelled = sum(counts.values())
     base = [float(np.log((counts.get(d, 0) + 0.5) / (labelled + 1))) if counts.get(d) else -1e6 for d in DOMAINS]
     return base, [(r["word"], [float(np.log(r[d] / np.mean([r[x] for x in DOMAINS]))) for d in DOMAINS]) for r in best]
