@@ -12,7 +12,8 @@ from .op6_bpe import op6_bpe
 from .op7_fingerprint import op7_fingerprint
 from .op8_language import op8_language
 from .op9_html import op9_html
+from .op10_substrings import op10_substrings
 
-QUERIES = {"op1_pii": op1_pii, "op2_lines": op2_lines, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_embedding": op5_embedding, "op6_bpe": op6_bpe, "op7_fingerprint": op7_fingerprint, "op8_language": op8_language, "op9_html": op9_html}
+QUERIES = {"op1_pii": op1_pii, "op2_lines": op2_lines, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash, "op5_embedding": op5_embedding, "op6_bpe": op6_bpe, "op7_fingerprint": op7_fingerprint, "op8_language": op8_language, "op9_html": op9_html, "op10_substrings": op10_substrings}
 
 ORACLES: dict[str, str] = {"op2_lines": LINES_SQL}
