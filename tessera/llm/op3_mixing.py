@@ -138,7 +138,9 @@ def solve(known: DataFrame, weights: dict[str, float], budget: float | None = No
         # The domain with the largest weight keeps its tokens; a scarcer one is repeated.
         budget = SPARE * float(now[share.argmax()] / share.max()) if now[share.argmax()] > 0 else (min(scarce) if scarce else 0.0)
     target = share * budget
-    inverse = np.linalg.pinv(gram + 1e-9 * max(gram.max(), 1e-300) * np.eye(len(DOMAINS)))
+    if not gram.any():
+        return [], target
+    inverse = np.linalg.pinv(gram + 1e-9 * gram.max() * np.eye(len(DOMAINS)))
     steps: list[np.ndarray] = []
     for _ in range(ROUNDS):
         rest = now - target
