@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,6 +90,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self.count = 0
+        # Results are lazy and may read these tables until the driver ends.
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        """Deletes all tables; does nothing once the session has stopped."""
+        with contextlib.suppress(Exception):
+            self.drop(self.root)
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/{self.count}"
