@@ -311,3 +311,19 @@ def drop_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", most:
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same in DuckDB, over all windows of the documents (ids are unique there).
+ORACLE_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+e as (select doc_id, encode(text) e from documents where text is not null),
+w as (select doc_id, i s, md5(e[i + 1:i + 100]) k from e, unnest(range(0, greatest(octet_length(e) - 99, 0))) u(i)),
+again as (select doc_id, s from (select doc_id, s, row_number() over (partition by k order by doc_id, s) nth from w) where nth > 1),
+runs as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) g from (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 100 then 0 else 1 end fresh from again)),
+spans as (select doc_id, min(s) a, max(s) + 100 b from runs group by doc_id, g),
+gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) p from spans),
+cut as (select doc_id, sum(b - a) n_removed, count(*) n_spans, max(b) rest, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) head from gaps join d using (doc_id) group by doc_id)
+select doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(rest, 0) + 1))) kept_sha256
+from d left join cut using (doc_id)
+"""

@@ -201,3 +201,14 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id: str = "vec_id", vect
 
 def op5_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = """
+with recursive v as (select vec_id, label, len(embedding) n, cast(embedding as double[]) e from embeddings where vec_id is not null and label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.n = b.n and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on r.b = l.a)
+select e.vec_id, coalesce((select count(*) from links where a = e.vec_id), 0) n_links, coalesce((select min(b) from reach where a = e.vec_id), e.vec_id) component_id,
+  coalesce((select min(b) from reach where a = e.vec_id), e.vec_id) = e.vec_id kept
+from embeddings e
+"""
