@@ -149,9 +149,12 @@ class Condition:
             return self.holds(left) | self.holds(right)
         if isinstance(e, Not):
             return self.holds(left) & ~self.holds(right)
-        a, b = self.extents(left), self.extents(right)
         meets = lambda x, y: F.exists(x, lambda p: F.exists(y, lambda q: (q["s"] - p["e"]).between(1, e.distance)))
-        return meets(a, b) if e.ordered else meets(a, b) | meets(b, a)
+        return F.exists(self.sides(e), lambda x: meets(x["l"], x["r"]) if e.ordered else meets(x["l"], x["r"]) | meets(x["r"], x["l"]))
+
+    def sides(self, e: Near) -> Column:
+        """Both operands' extents in an array of one, so that lambdas over it see values and don't evaluate the operands for each element."""
+        return F.array(F.struct(self.extents(e.left).alias("l"), self.extents(e.right).alias("r")))
 
     def starts(self, e: Phrase) -> Column:
         rare = min(range(len(e.words)), key=lambda i: self.df[e.words[i]])
@@ -165,11 +168,11 @@ class Condition:
             return F.transform(self.at(str(e)), lambda p: span(p, p))
         if isinstance(e, Phrase):
             return F.transform(self.starts(e), lambda s: span(s, s + (len(e.words) - 1)))
-        a, b = map(self.extents, e.children())
         if isinstance(e, Or):
-            return F.array_distinct(F.concat(a, b))
+            return F.array_distinct(F.concat(*map(self.extents, e.children())))
         pairs = lambda x, y: F.flatten(F.transform(x, lambda p: F.transform(F.filter(y, lambda q: (q["s"] - p["e"]).between(1, e.distance)), lambda q: span(p["s"], q["e"]))))
-        return F.array_distinct(pairs(a, b) if e.ordered else F.concat(pairs(a, b), pairs(b, a)))
+        both = F.transform(self.sides(e), lambda x: pairs(x["l"], x["r"]) if e.ordered else F.concat(pairs(x["l"], x["r"]), pairs(x["r"], x["l"])))
+        return F.array_distinct(F.flatten(both))
 
 
 # Plan B
