@@ -106,6 +106,7 @@ class Network:
             into = np.matmul(v[:, way * n : way * n + n].T, p)
             gx, gu, gb = np.zeros((3 * n, 256), np.float32), np.zeros_like(u), np.zeros((n, 1), np.float32)
             dh = np.zeros((n, x.shape[1]), np.float32)
+            steps = np.empty((len(x), 3 * n, x.shape[1]), p.dtype)
             for t, h, g, inner, c in reversed(tape):
                 dh = (dh + into[t]) * valid[t]
                 z, r = g[:n], g[n:]
@@ -114,10 +115,12 @@ class Network:
                 dm = np.concatenate((da[: 2 * n], dc * r))
                 gu += dm @ h.T
                 gb += dm[2 * n :].sum(axis=1, keepdims=True)
-                hot = np.zeros((256, x.shape[1]), np.float32)
-                hot[x[t], np.arange(x.shape[1])] = 1
-                gx += da @ hot.T
+                steps[t] = da
                 dh = dh * z + u.T @ dm
+            # Input weights: sums over the positions of each byte.
+            order = np.argsort(x.ravel(), kind="stable")
+            found, at = np.unique(x.ravel()[order], return_index=True)
+            gx[:, found] = np.add.reduceat(steps.transpose(1, 0, 2).reshape(3 * n, -1)[:, order], at, axis=1)
             grads += [gx, gu, gb]
         return grads + out
 
