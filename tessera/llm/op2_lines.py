@@ -31,20 +31,28 @@ SHARE = 0.25
 FIELD = "<*>"
 
 
+def form(line: Column) -> Column:
+    """A line's tokens with one space between them, those with digits generalised."""
+    # Most lines have neither runs of white space nor digits, and finding that out is cheap.
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\f\x0b":
+        odd = odd | F.contains(line, F.lit(c))
+    plain = F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)).otherwise(plain)
+
+
 def lines(df: DataFrame, text: str) -> DataFrame:
     """A row for each line that counts: doc (hash of the text), at (line number), form (tokens, fields generalised), leaf, and the witnesses."""
     body = F.col(f"`{text}`")
-    all_lines = F.split(body, "\n", -1)
-    filled = F.filter(all_lines, lambda x: F.trim(x) != "")
-    longest = F.array_max(F.transform(filled, lambda x: F.named_struct(F.lit("n"), F.char_length(x), F.lit("line"), x)))["line"]
-    own = df.where(body.isNotNull()).select(
-        F.xxhash64(body, F.length(body)).alias("doc"), F.xxhash64(F.get(filled, 0)).alias("w0"), F.xxhash64(F.element_at(filled, -1)).alias("w1"), F.xxhash64(longest).alias("w2"), F.posexplode(all_lines).alias("at", "line")
+    # Each of these steps is used more than once, so it is a projection of its own; forms are made inside the generator, once.
+    own = df.where(body.isNotNull()).select(F.xxhash64(body, F.length(body)).alias("doc"), F.split(body, "\n", -1).alias("lines"))
+    own = own.withColumn("filled", F.filter("lines", lambda x: F.trim(x) != ""))
+    longest = F.array_max(F.transform("filled", lambda x: F.named_struct(F.lit("n"), F.char_length(x), F.lit("line"), x)))["line"]
+    own = own.select(
+        "doc", F.xxhash64(F.get("filled", 0)).alias("w0"), F.xxhash64(F.element_at("filled", -1)).alias("w1"), F.xxhash64(longest).alias("w2"), F.posexplode(F.transform("lines", form)).alias("at", "form")
     )
-    plain = own.withColumn("form", F.trim(F.regexp_replace("line", r"\s+", " "))).drop("line")
     tokens = F.char_length("form") - F.char_length(F.replace(F.col("form"), F.lit(" "))) + 1
-    counted = plain.withColumn("n", tokens).where(F.col("n") >= MIN_TOKENS)
-    form = F.when(F.col("form").rlike("[0-9]"), F.regexp_replace("form", r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)).otherwise(F.col("form"))
-    counted = counted.withColumn("form", form)
+    counted = own.withColumn("n", tokens).where(F.col("n") >= MIN_TOKENS)
     return counted.withColumn("leaf", F.xxhash64("n", F.substring_index("form", " ", DEPTH)))
 
 
