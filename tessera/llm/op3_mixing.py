@@ -45,16 +45,20 @@ SEPARATORS = r"[\s.,;:?\"'()\[\]]+"
 
 def words(text: Column) -> Column:
     """The tokens: what stands between white space and punctuation (marks that shout stay with their word)."""
-    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(text, SEPARATORS), "")
 
 
-def features(text: Column) -> Column:
-    """The different words of a text, and signs for texts that repeat few words or are mostly cells of tables."""
-    every = words(text)
-    own = F.array_distinct(every)
-    repeats = F.when(F.size(own) < 0.3 * F.size(every), F.lit("#repeats"))
-    bars = F.when(F.char_length(text) - F.char_length(F.replace(text, F.lit("|"))) > 0.2 * F.size(every), F.lit("#bars"))
-    return F.array_compact(F.concat(own, F.array(repeats, bars)))
+def featured(df: DataFrame, text: str) -> DataFrame:
+    """df (without other columns of these names) with n (tokens) and features: the different words of a text, and signs for texts that repeat few words or are mostly cells of tables.
+
+    Words and different words are projections of their own, so that each text is split once.
+    """
+    bars = F.char_length(text) - F.char_length(F.replace(F.col(text), F.lit("|")))
+    split = df.withColumn("bars", bars).withColumn("words", words(F.col(text))).drop(text)
+    own = split.withColumn("own", F.array_distinct("words")).withColumn("n", F.size("words").cast("long")).drop("words")
+    repeats = F.when(F.size("own") < 0.3 * F.col("n"), F.lit("#repeats"))
+    cells = F.when(F.col("bars") > 0.2 * F.col("n"), F.lit("#bars"))
+    return own.withColumn("features", F.array_compact(F.concat("own", F.array(repeats, cells)))).drop("own", "bars")
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -74,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str, text: str) -> tuple[list[fl
     for p in parts[1:]:
         sample = sample.union(p)
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id")
-    seen = rows.select("domain", F.explode(features(F.col("text"))).alias("word"))
+    seen = featured(rows.select("domain", "text"), "text").select("domain", F.explode("features").alias("word"))
     seen = seen.groupBy("word").pivot("domain", list(DOMAINS)).count().na.fill(0).where(sum(map(F.col, DOMAINS), F.lit(0)) >= SUPPORT)
     total = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     size = [total.get(d, 0) for d in DOMAINS]
@@ -94,9 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str, text: str) -> tuple[list[fl
 def posteriors(docs: DataFrame, base: list[float], weights: list[tuple[str, list[float]]], text: str) -> DataFrame:
     """(key, n, m, p_...) of each different text: a hash of it, its tokens, its rows and its posteriors. One pass over the texts."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    own = docs.select(F.xxhash64(body, F.length(body)).alias("key"), words(body).alias("words"), features(body).alias("features"))
     vocabulary = F.split(F.lit(" ".join(w for w, _ in weights)), " ")
-    own = own.select("key", F.size("words").cast("long").alias("n"), F.array_intersect("features", vocabulary).alias("present"))
+    own = featured(docs.select(F.xxhash64(body, F.length(body)).alias("key"), body.alias("text")), "text")
+    own = own.select("key", "n", F.array_intersect("features", vocabulary).alias("present"))
     own = own.groupBy("key", "n", "present").agg(F.count("*").alias("m"))
     rows = docs.sparkSession.createDataFrame([(w, *x) for w, x in weights] or [("", *[0.0] * len(DOMAINS))], ", ".join(["word string", *(f"{d} double" for d in DOMAINS)]))
     told = own.select("key", "n", "m", F.explode_outer("present").alias("word")).join(F.broadcast(rows), "word", "left")
