@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The scripts whose characters are tokens of their own.
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
@@ -63,13 +68,32 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def token_table(df, text: str = "text"):  # noqa: ANN001, ANN201
-    """df with term, raw, position and byte offset of each token of a column. Only higher-order functions, nothing is shuffled."""
-    tokens = df.withColumn("__raw", words(F.col(text))).withColumn("__gap", F.split(F.col(text), WORD, -1))
-    exploded = tokens.select(*df.columns, F.posexplode("__raw").alias("position", "raw"), "__raw", "__gap")
-    total = lambda column, n: F.aggregate(F.transform(F.slice(column, F.lit(1), n), F.octet_length), F.lit(0), lambda a, x: a + x)
-    offset = total("__gap", F.col("position") + 1) + total("__raw", F.col("position"))
-    return exploded.select(*df.columns, F.lower("raw").alias("term"), "raw", "position", offset.alias("offset"))
+def running_sums(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with the running sums of a column of integer arrays, one pass over each array (Arrow; nothing is shuffled)."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(column)
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            sums = np.concatenate(([0], np.cumsum(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))))
+            own = sums[1:] - np.repeat(sums[ends[:-1]], sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own, pa.int64()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def token_table(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with term, raw, position and byte offset of each token of a column. Linear in the text, nothing is shuffled."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    tokens = df.withColumn("__raw", words(body)).withColumn("__gap", F.split(body, WORD, -1))
+    # A token ends after the bytes of all gaps and tokens up to its own.
+    steps = F.zip_with("__raw", F.slice("__gap", F.lit(1), F.size("__raw")), lambda raw, gap: F.octet_length(gap) + F.octet_length(raw))
+    ended = running_sums(tokens.select(*df.columns, "__raw", steps.alias("__step")), "__step", "__end")
+    exploded = ended.select(*df.columns, F.posexplode(F.arrays_zip("__raw", "__end")).alias("position", "__token"))
+    raw = F.col("__token.__raw")
+    return exploded.select(*df.columns, F.lower(raw).alias("term"), raw.alias("raw"), "position", (F.col("__token.__end") - F.octet_length(raw)).cast("int").alias("offset"))
 
 
 def trim_space(text: Column) -> Column:

@@ -233,6 +233,17 @@ def test_text_columns(spark):
     assert sorted((r["i"], r["term"], r["raw"], r["position"], r["offset"]) for r in got) == sorted(expected)
 
 
+def test_tokens_of_both_fields(spark, tmp_path):
+    import __spark_entry__
+
+    texts = ["Title one\nbody don't 3.14\n量子 é", "no body", "\nonly body, twice body", "", None, "long\n" + "é wörd, " * 60_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["tokenize_fields"](spark, str(tmp_path)).collect()
+    fields = [(i, field, part) for i, t in enumerate(texts) if t is not None for field, part in zip(("title", "body"), (t.split("\n", 1) + [""])[:2])]
+    expected = [(i, field, t.normalized, t.position, t.offset) for i, field, part in fields for t in tokenize(part)]
+    assert sorted((r["doc_id"], r["field"], r["term"], r["position"], r["offset"]) for r in got) == sorted(expected)
+
+
 def test_driver_and_spark_split_alike(spark):
     import unicodedata
 
