@@ -7,7 +7,10 @@ similar enough to count when at least CONSTANT of its tokens are constant, and r
 
 Boilerplate is what recurs in documents that are otherwise different: copies of a document also share all their lines,
 and they are the work of other operators. So each text has three witnesses, its first, last and longest line; a recurring template is
-dropped only if under some witness no more than SHARE of its texts agree. All its lines are dropped.
+dropped if under some witness no more than SHARE of its texts agree. Groups of near copies and pages with a common frame agree
+whatever else stands in them, so it is dropped also if MIN_DOCS of its texts are mostly their own: at least OWN of
+their characters are in lines that count and whose templates don't recur. Near copies have few such lines, however many they are
+(a changed line is one only if its count of tokens or one of its first DEPTH changed), and can't outvote the others. All its lines are dropped.
 
 Scale: what is shuffled of lines are hashes. Line texts are shuffled only for lines in leaves that recur, thinned by a bit map
 of fixed size. Each text meets its decisions in one join. Every count is over all documents; hot lines are pre-aggregated.
@@ -28,6 +31,7 @@ DEPTH = 3
 MIN_DOCS = 5
 CONSTANT = 0.7
 SHARE = 0.25
+OWN = 0.5
 FIELD = "<*>"
 
 
@@ -42,15 +46,17 @@ def form(line: Column) -> Column:
 
 
 def lines(df: DataFrame, text: str) -> DataFrame:
-    """A row for each line that counts: doc (hash of the text), at (line number), form (tokens, fields generalised), leaf, and the witnesses."""
+    """A row for each line that counts: doc (hash of the text), at (line number), form (tokens, fields generalised), leaf, the witnesses, and the characters of the text and of all its lines that count."""
     body = F.col(f"`{text}`")
     # Each of these steps is used more than once, so it is a projection of its own; forms are made inside the generator, once.
     own = df.where(body.isNotNull()).select(F.xxhash64(body, F.length(body)).alias("doc"), F.split(body, "\n", -1).alias("lines"))
     own = own.withColumn("filled", F.filter("lines", lambda x: F.trim(x) != ""))
     longest = F.array_max(F.transform("filled", lambda x: F.named_struct(F.lit("n"), F.char_length(x), F.lit("line"), x)))["line"]
-    own = own.select(
-        "doc", F.xxhash64(F.get("filled", 0)).alias("w0"), F.xxhash64(F.element_at("filled", -1)).alias("w1"), F.xxhash64(longest).alias("w2"), F.posexplode(F.transform("lines", form)).alias("at", "form")
-    )
+    own = own.select("doc", F.xxhash64(F.get("filled", 0)).alias("w0"), F.xxhash64(F.try_element_at("filled", F.lit(-1))).alias("w1"), F.xxhash64(longest).alias("w2"), F.transform("lines", form).alias("forms"))
+    # A form has MIN_TOKENS tokens if something is left after the first MIN_TOKENS - 1.
+    chars = lambda acc, x: F.named_struct(F.lit("whole"), acc["whole"] + F.char_length(x), F.lit("counted"), acc["counted"] + F.when(F.substring_index(x, " ", MIN_TOKENS - 1) == x, 0).otherwise(F.char_length(x)))
+    own = own.withColumn("chars", F.aggregate("forms", F.named_struct(F.lit("whole"), F.lit(0), F.lit("counted"), F.lit(0)), chars))
+    own = own.select("doc", "w0", "w1", "w2", "chars", F.posexplode("forms").alias("at", "form"))
     tokens = F.char_length("form") - F.char_length(F.replace(F.col("form"), F.lit(" "))) + 1
     counted = own.withColumn("n", tokens).where(F.col("n") >= MIN_TOKENS)
     return counted.withColumn("leaf", F.xxhash64("n", F.substring_index("form", " ", DEPTH)))
@@ -76,12 +82,18 @@ def dropped_lines(df: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     thin = found.where(in_bit_map(bit_map(leaves), F.col("leaf"))).withColumn("form_hash", F.xxhash64("form"))
     shared, _ = scratch.write(thin.join(leaves, "leaf", "left_semi"))
     forms = shared.select("leaf", "form_hash", "n", "form", "doc").groupBy("leaf", "form_hash", "n", "form", "doc").agg(F.lit(1)).groupBy("leaf", "form_hash", "n", "form").agg(F.count("*").alias("docs"))
-    named = shared.drop("form", "n").join(templates(forms).where("template IS NOT NULL"), ["leaf", "form_hash"])
-    named, _ = scratch.write(named.select("template", "doc", "at", "w0", "w1", "w2"))
+    named = shared.withColumn("size", F.char_length("form")).drop("form", "n").join(templates(forms).where("template IS NOT NULL"), ["leaf", "form_hash"])
+    named, _ = scratch.write(named.select("template", "doc", "at", "w0", "w1", "w2", "size", "chars"))
     texts = named.groupBy("template", "doc", "w0", "w1", "w2").agg(F.lit(1)).select("template", F.posexplode(F.array("w0", "w1", "w2")).alias("witness", "value"))
     agree = texts.groupBy("template", "witness", "value").agg(F.count("*").alias("texts"))
     agree = agree.groupBy("template", "witness").agg(F.max("texts").alias("most"), F.sum("texts").alias("docs"))
-    boiler = agree.groupBy("template").agg(F.min("most").alias("most"), F.max("docs").alias("docs")).where((F.col("docs") >= MIN_DOCS) & (F.col("most") <= SHARE * F.col("docs"))).select("template")
+    recurring = agree.groupBy("template").agg(F.min("most").alias("most"), F.max("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS)
+    recurring, _ = scratch.write(recurring)
+    # Texts that are mostly their own, and the templates that stand in enough of them.
+    within = named.join(recurring, "template", "left_semi").groupBy("doc", "chars").agg(F.sum("size").alias("shared"))
+    different = within.where(F.col("chars.counted") - F.col("shared") >= OWN * F.col("chars.whole")).select("doc")
+    apart = named.join(different, "doc", "left_semi").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("own")).where(F.col("own") >= MIN_DOCS).select("template")
+    boiler = recurring.where(F.col("most") <= SHARE * F.col("docs")).select("template").union(apart)
     return named.join(boiler, "template", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("drop"))
 
 

@@ -113,6 +113,28 @@ def test_lines(spark, tmp_path):
     assert by_id[100] == copy and by_id[200] is None and by_id[201] == ""
 
 
+def test_lines_with_hot_groups(spark):
+    rng = random.Random(3)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(9))
+    licence, header, footer = "All of this is free to copy", "Pages of the common house", "Back to the first page"
+    notice = " ".join(["a notice that is longer than all"] * 4)
+    unrelated = [f"{own()}\n{licence}\n{own()}" for _ in range(75)]
+    first, _, last = unrelated[0].split("\n")
+    middle = [f"{own()} {own()}", *(own() for _ in range(6))]
+    copies = []
+    for i in range(300):
+        changed = [m.split() for m in middle]
+        changed[1 + i % 6][3 + i % 5] = "".join(rng.choices("mnopqr", k=6))
+        copies.append("\n".join([first, *map(" ".join, changed), licence, last]))
+    family = ["\n".join([header, *(own() for _ in range(6)), notice, footer]) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(unrelated + copies + family)), "doc_id long, text string")
+    got = [r["text"] for r in op2_lines.drop_boilerplate(df).orderBy("doc_id").collect()]
+    assert not any(licence in t for t in got)
+    assert not any(x in t for t in got for x in (header, notice, footer))
+    # What only the near copies share stays.
+    assert all(g == c.replace(f"\n{licence}", "") for g, c in zip(got[:375], unrelated + copies))
+
+
 def test_lines_equal_sql(spark, odd):
     import duckdb
 
