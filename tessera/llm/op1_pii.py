@@ -3,11 +3,12 @@
 DataFrame functions only. The base finds e-mail addresses, IP addresses, card and phone numbers in whole
 texts. The information-theoretic part follows disclosure by pointwise mutual information: a term t discloses an
 entity e by PMI(t; e) / IC(e), where IC(e) = log2(N / n_e) and PMI = log2(N n_te / (n_t n_e)); n counts
-documents of the whole corpus, n_te those where t stands within NEAR words of e. 1 means that who
+documents of the whole corpus, n_te those that hold both, anywhere. 1 means that who
 reads t knows e. A pair must come from MIN_TEXTS different texts, so that a copied document proves nothing.
-In a document with e near t every t is a span: removed from disclosure REMOVE on, generalised from GENERALISE on.
+In a document that holds e every t is a span: removed from disclosure REMOVE on, generalised from GENERALISE on.
 
-Scale: base and spans are made row by row. What is shuffled are (document, entity, term) triples near entities, counts of terms, and the texts of documents with entities. Corpus counts of terms come from one pass over all words, which a
+Scale: base and spans are made row by row. What is shuffled are (document, entity, term) triples of the entities that stand in MIN_TEXTS
+texts or more (others can't make a pair), counts of terms, and the texts of documents with entities. Corpus counts of terms come from one pass over all words, which a
 bit map of fixed size thins to the candidate terms before any shuffle.
 
 Null texts count as empty. Offsets are code points, ends exclusive. Matches of a kind are leftmost and don't
@@ -32,9 +33,6 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 LETTERS = r"\p{L}\p{M}"
 WORD = rf"[{LETTERS}]+"
-#: Words on each side of an entity that count as near, within so many characters.
-NEAR = 8
-REACH = 160
 MIN_TEXTS = 2
 GENERALISE = 0.7
 REMOVE = 0.9
@@ -98,34 +96,33 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def near_words(text: Column, span: Column) -> Column:
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - REACH), F.least(F.lit(REACH), span["start"]))
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
-    words = lambda part: F.regexp_extract_all(F.lower(part), F.lit(rf"(?<![{LETTERS}@.0-9]){WORD}(?=[.]?(?:[^{LETTERS}@.0-9]|$))"), F.lit(0))
-    return F.concat(F.reverse(F.slice(F.reverse(words(before)), 1, NEAR)), F.slice(words(after), 1, NEAR))
+def terms_of(text: Column) -> Column:
+    """The different words of a text that are no part of an address or number."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![{LETTERS}@.0-9]){WORD}(?=[.]?(?:[^{LETTERS}@.0-9]|$))"), F.lit(0)))
 
 
 def disclosed(base: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(key, term, disclosure): terms that give away an entity near them, by document."""
+    """(key, term, disclosure): terms that give away an entity of their document."""
     scratch = Scratch(base.sparkSession)
-    pair = lambda span: F.transform(near_words(F.col("__text"), span), lambda t: F.struct(entity(span).alias("entity"), t.alias("term")))
-    bare = F.transform("__spans", lambda span: F.struct(entity(span).alias("entity"), F.lit(None).cast("string").alias("term")))
-    held = base.where(F.size("__spans") > 0).select("__key", "__hash", F.explode(F.array_distinct(F.concat(bare, F.flatten(F.transform("__spans", pair))))).alias("pair"))
     # m: the rows of equal id and text; they all count as documents.
-    near, _ = scratch.write(held.groupBy("__key", "__hash", "pair.entity", "pair.term").agg(F.count("*").alias("m")))
-    of_entity = near.where("term IS NULL").groupBy("entity").agg(F.sum("m").alias("n_e"))
-    pairs = near.where("term IS NOT NULL").groupBy("entity", "term", "__hash").agg(F.sum("m").alias("m")).groupBy("entity", "term").agg(F.sum("m").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    # A term stands in no fewer documents than those where it is near any entity: what can't reach the threshold even so goes first.
-    near_any = near.where("term IS NOT NULL").select("__key", "term", "m").distinct().groupBy("term").agg(F.sum("m").alias("n_t"))
+    held = base.where(F.size("__spans") > 0).select("__key", "__hash", F.explode(F.array_distinct(F.transform("__spans", entity))).alias("entity"))
+    held, _ = scratch.write(held.groupBy("__key", "__hash", "entity").agg(F.count("*").alias("m")))
+    of_entity = held.groupBy("entity").agg(F.sum("m").alias("n_e"), F.count_distinct("__hash").alias("texts")).where(F.col("texts") >= MIN_TEXTS).drop("texts")
+    live = held.join(of_entity.select("entity"), "entity", "left_semi")
+    terms = base.join(live.select("__key").distinct(), "__key", "left_semi").select("__key", F.explode(terms_of(F.col("__text"))).alias("term"))
+    both, _ = scratch.write(terms.join(live, "__key").distinct())
+    pairs = both.groupBy("entity", "term", "__hash").agg(F.sum("m").alias("m")).groupBy("entity", "term").agg(F.sum("m").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
+    # A term stands in no fewer documents than those where it is with any entity: what can't reach the threshold even so goes first.
+    with_any = both.select("__key", "term", "m").distinct().groupBy("term").agg(F.sum("m").alias("n_t"))
     n = F.lit(float(max(2, docs.count())))
     reveal = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9))
-    pairs, _ = scratch.write(pairs.join(of_entity, "entity").join(near_any, "term").where(reveal >= GENERALISE).select("entity", "term", "n_te", "n_e"))
+    pairs, _ = scratch.write(pairs.join(of_entity, "entity").join(with_any, "term").where(reveal >= GENERALISE).select("entity", "term", "n_te", "n_e"))
     # Corpus counts of the candidate terms: words of all texts, thinned before they are shuffled.
     seen = bit_map(pairs.select(F.xxhash64("term")).distinct())
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), rf"[^{LETTERS}]+"))).alias("term"))
     of_term = words.where(in_bit_map(seen, F.xxhash64("term"))).groupBy("term").agg(F.count("*").alias("n_t"))
     known = pairs.join(of_term, "term").select("entity", "term", F.least(reveal, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    return near.join(known, ["entity", "term"]).groupBy("__key", "term").agg(F.max("disclosure").alias("disclosure"))
+    return both.join(known, ["entity", "term"]).groupBy("__key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(df: DataFrame, id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:

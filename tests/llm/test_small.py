@@ -94,6 +94,20 @@ def test_terms_that_disclose(spark, tmp_path):
     assert len(clean) == len(rows)
 
 
+def test_terms_that_disclose_from_anywhere(spark, tmp_path):
+    far = "common words of many other texts stand between " * 8
+    rows = [(i, f"Zorblax wrote zor@mail.org about v{'q' * i}.") for i in range(3)]
+    # The known term far from the entity, a term that is never close to it, and the entity's term without the entity.
+    rows += [(3, f"zor@mail.org {far} Zorblax"), (4, f"Quuxian {far} zor@mail.org"), (5, f"{far} zor@mail.org {far} and Quuxian here")]
+    rows += [(10 + i, f"{far} wrote about and here {'q' * i}") for i in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in op1_pii.find(spark.read.parquet(f"{documents(spark, tmp_path, rows)}/documents.parquet")).collect()}
+    values = {i: {s["value"] for s in spans if s["kind"] in ("general", "term")} for i, spans in got.items()}
+    assert all("Zorblax" in values[i] for i in range(4))
+    assert "Quuxian" in values[4] and "Quuxian" in values[5]
+    assert not any(values[10 + i] for i in range(60))
+    assert not any(v & {"common", "words", "stand", "between"} for v in values.values())
+
+
 # Line dedup
 
 
