@@ -42,9 +42,27 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", r
 APART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer sidebar side aside rail widget widgets related recommended more share sharing social comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login search pagination pager tags copyright legal disclaimer contentinfo complementary toolbar".split()
 )
+#: Whole elements, which no such name sets apart; an article only if one of its names is nothing else.
+WHOLE = frozenset("html body main article".split())
+#: Names that begin or end so say what an element has or does, not what it is.
+STATES = frozenset("has have with without no is not show hide enabled disabled open opened closed active inactive visible on off".split())
 MAIN_NAMES = frozenset("article main content post story entry body".split())
 OUTSIDE, IN_MAIN, IN_APART = 0, 1, 2
 
+
+def set_apart(tag: str, attributes: str) -> bool:
+    """Whether a class, id or role names a region apart from the main text."""
+    for value in NAMES.findall(attributes):
+        for name in value.strip("\"'").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            if tag in WHOLE:
+                if tag == "article" and name in APART_NAMES:
+                    return True
+            elif words and words[0] not in STATES and words[-1] not in STATES and not APART_NAMES.isdisjoint(words):
+                return True
+    return False
+
+
 #: Fixed table: pages of (region, kind, words, words in links, main). Kinds: p, h (heading), i (list item).
 LABELLED = [
     [(2, "i", 1, 1, 0), (2, "i", 2, 2, 0), (2, "i", 1, 1, 0), (2, "p", 9, 0, 0), (1, "h", 8, 0, 1), (1, "p", 60, 0, 1), (1, "p", 3, 0, 1), (1, "p", 140, 4, 1), (2, "p", 12, 1, 0)],
@@ -130,7 +148,7 @@ def blocks(page: str) -> tuple[list[str], list[Block]]:
         attributes = m[4]
         parts_of = {w for x in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", x.lower())} if "=" in attributes else frozenset()
         if region != IN_APART:
-            if name in APART or parts_of & APART_NAMES or (name == "header" and region != IN_MAIN) or re.search(r"\bhidden\b|display\s*:\s*none", attributes):
+            if name in APART or (parts_of & APART_NAMES and set_apart(name, attributes)) or (name == "header" and region != IN_MAIN) or re.search(r"\bhidden\b|display\s*:\s*none", attributes):
                 region = IN_APART
             elif name in MAIN or parts_of & MAIN_NAMES and name not in ("body", "html"):
                 region = IN_MAIN

@@ -426,6 +426,13 @@ def test_html(page, text):
     assert op9_html.main_text(page) == text
 
 
+@pytest.mark.parametrize("frame", ['<body class="has-sidebar"><article>%s</article></body>', '<body><article class="post share-enabled">%s</article></body>', '<html class="no-comments"><body id="page-header"><main role="main" class="content notice">%s</main></body></html>', '<body><div class="with-sidebar">%s</div></body>'])
+def test_html_names_of_whole_elements(frame):
+    text = "Main text of a page that goes on for some more words than a short line has."
+    aside = '<div class="sidebar-left"><p>Side words that nobody reads here.</p></div><article class="comment"><p>A reader says so.</p></article>'
+    assert op9_html.main_text(frame % f"<p>{text}</p><p>{text}</p>{aside}") == f"{text}\n\n{text}"
+
+
 def test_html_never_fails(spark, tmp_path):
     rng = random.Random(13)
     pages = ["".join(rng.choices(["<", ">", "/", "p", "div ", '"', "'", "<!--", "-->", "<script>", "</", "a=", "&#x", "text ", "<article>"], k=60)) for _ in range(300)] + ["<a '" * 20_000, "<" * 50_000, "<div>" * 20_000 + "x"]
