@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,7 +205,11 @@ def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     # A hash below a language's own share of the range keeps about 1.3 x PER_LANG documents of it.
     share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["y"]), F.lit(min(1.0, 1.3 * PER_LANG / r["count"])))]), F.col("y"))
     dice = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = own.where(F.col("y").isin([r["y"] for r in counts]) & (dice <= share)).orderBy(dice / share, "k").limit(PER_LANG * len(counts)).select(F.substring("t", 1, TRAIN_CHARS).alias("t"), "y").collect()
+    # The limit is each language's own, so that a rare one keeps all its documents; the part of a text is dealt by the hash of its id.
+    nth = F.row_number().over(Window.partitionBy("y").orderBy("dice", "k"))
+    start = F.pmod(F.xxhash64("k", "y"), F.greatest(F.lit(1), F.char_length("t") - TRAIN_CHARS + 1)).cast("int") + 1
+    sample = own.withColumn("dice", dice).where(F.col("y").isin([r["y"] for r in counts]) & (F.col("dice") <= share)).select("k", "y", "dice", F.substring("t", start, F.lit(TRAIN_CHARS)).alias("t"))
+    rows = sample.withColumn("nth", nth).where(F.col("nth") <= PER_LANG).orderBy("dice", "k").select("t", "y").collect()
     rows = [r for r in rows if LETTER.search(r["t"])]
     return train([r["t"] for r in rows], [r["y"] for r in rows])
 

@@ -402,6 +402,20 @@ def test_backpropagation():
         assert abs(slope - g[k]) < 1e-4
 
 
+def test_sample_keeps_rare_languages_and_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(op8_language, "PER_LANG", 5)
+    monkeypatch.setattr(op8_language, "TRAIN_CHARS", 20)
+    seen = {}
+    monkeypatch.setattr(op8_language, "train", lambda texts, langs: seen.update(texts=texts, langs=langs))
+    rows = [(i, f"{chr(97 + i % 26)}" * 20 + "front" * 20 + "middle" * 20 + "back" * 20, f"l{i % 5}") for i in range(2000)] + [(5000 + i, "rare words", f"r{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r["lang"] for r in df.where(~op8_language.held_out(F.col("doc_id"))).collect()}
+    op8_language.learn(df)
+    assert set(seen["langs"]) == learned and any(x.startswith("r") for x in learned)
+    assert all(seen["langs"].count(x) <= 5 for x in learned)
+    assert any("middle" in t for t in seen["texts"])
+
+
 def test_drop_unidentified(spark):
     rows = [(i, ("the thing and that " if i % 2 else "der die und das ") * 9, "en" if i % 2 else "de", 1) for i in range(40)] + [(90, None, None, 1), (91, "12 34", None, 1), (None, "the thing", None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").withColumn("lang_pred", F.lit("x"))
