@@ -224,9 +224,19 @@ def identify(df: DataFrame, names: list[str], net: Network, text: str = "text")
     return map_texts(df, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], step)
 
 
+#: Stands for the language of all texts where none could be learned.
+UNLEARNED = "any"
+
+
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """docs without rows whose language is unknown, all columns as they are."""
+    """docs without rows whose text is null or has no letter, all columns as they are.
+
+    Of the network's decisions none rejects a document: every text with a letter gets a language, whatever its score.
+    Where no row has a language to learn from, texts with letters stay too.
+    """
     names, net = learn(docs)
+    # Nothing was learned: one name makes every text with a letter known.
+    names = names or [UNLEARNED]
     (copy,) = fresh(docs, "text")
     # The prediction's columns must not replace columns of docs, so docs travels as one struct.
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias(copy))

@@ -423,6 +423,12 @@ def test_drop_unidentified(spark):
     assert kept.columns == df.columns and kept.count() == 41
 
 
+def test_documents_stay_where_no_language_is_known(spark):
+    rows = [(1, "plain words", None), (2, "12 34", None), (3, None, None), (4, "слова", None)]
+    kept = op8_language.drop_unidentified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
 # HTML
 
 
