@@ -120,8 +120,9 @@ def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = documents(spark, sf_dir).select("doc_id", "title")
-    return token_table(titles, "title").select("doc_id", "term", F.col("position").cast("long").alias("position"), F.col("offset").cast("long").alias("offset"))
+    """The tokens of whole texts with positions and byte offsets."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    return token_table(texts).select("doc_id", "term", F.col("position").cast("long").alias("position"), F.col("offset").cast("long").alias("offset"))
 
 
 def tokenize_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,8 +241,9 @@ ORACLES = {
     "set_difference": flags("{the} and not {of}"),
     "naive_scan": flags("{the}"),
     "normalize_ws": r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), '[ \t\n\f\r]+', ' ', 'g') normal from documents",
-    "tokenize_offsets": TOKENS
-    + f", g as (select doc_id, tt, string_split_regex(title, '{SQL_WORD.replace("'", "''")}') gaps from k join f using (doc_id)) select doc_id, lower(u.t) term, u.i - 1 \"position\", cast(coalesce(list_sum(list_transform(gaps[1:u.i], lambda x: strlen(x))), 0) + coalesce(list_sum(list_transform(tt[1:u.i - 1], lambda x: strlen(x))), 0) as bigint) \"offset\" from g, unnest(tt) with ordinality u(t, i)",
+    "tokenize_offsets": f"""with g as (select doc_id, regexp_extract_all(text, '{SQL_WORD.replace("'", "''")}') toks, string_split_regex(text, '{SQL_WORD.replace("'", "''")}') gaps from documents where text is not null),
+s as (select doc_id, unnest(toks) raw, unnest(gaps[1:len(toks)]) gap, unnest(range(len(toks))) i from g)
+select doc_id, lower(raw) term, i "position", cast(sum(strlen(gap) + strlen(raw)) over (partition by doc_id order by i) - strlen(raw) as bigint) "offset" from s""",
     "tokenize_fields": TOKENS
     + f""", g as (select doc_id, u.field, regexp_extract_all(u.text, '{SQL_WORD.replace("'", "''")}') toks, string_split_regex(u.text, '{SQL_WORD.replace("'", "''")}') gaps
 from (select doc_id, 'title' field, title text from f union all select doc_id, 'body', body from f) u),

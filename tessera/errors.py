@@ -29,23 +29,3 @@ class MalformedRecord(TextSearchError):
     def __init__(self, path: str, line: int, reason: str = ""):
         super().__init__(f"malformed record at {path}:{line}" + (f": {reason}" if reason else ""))
         self.path, self.line, self.reason = path, line, reason
-
-
-class CorpusTooLarge(TextSearchError):
-    pass
-
-
-class IndexTooLarge(TextSearchError):
-    pass
-
-
-class CorpusChanged(TextSearchError):
-    def __init__(self, unexpected_terms: int):
-        super().__init__(f"the corpus changed while it was indexed: {unexpected_terms} unexpected terms")
-        self.unexpected_terms = unexpected_terms
-
-
-class PrefixTooWide(TextSearchError):
-    def __init__(self, stem: str, most: int):
-        super().__init__(f"{stem}* stands for more than {most} terms")
-        self.stem, self.most = stem, most

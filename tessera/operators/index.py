@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from ..errors import IndexFormatError, IoError
 from ..functions.text import FIELD_GAP, words
 
+#: Document ids that are counted together.
+STRETCH = 1 << 16
+#: First characters of a term by which the vocabulary is dealt.
+LEAD = 3
 KIND, VERSION = "tessera-index", 1
 POSTINGS = "term string, doc_id bigint, positions array<int>, tf int"
 TERMS = "term string, df bigint, cf bigint"
@@ -29,11 +35,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings (term, doc_id, positions, tf), terms (term, df, cf), docs (doc_id, external_id, title)."""
+    """postings (term, doc_id, positions, tf), terms (term, df, cf), docs (doc_id, external_id, title). A saved index knows its numbers of documents and postings."""
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
+    documents: int | None = None
+    size: int | None = None
 
     # Lookups. Terms are stored in lower case; lookups don't change what they are given.
 
@@ -55,19 +63,34 @@ class TextIndex:
         found = {r["term"]: r["df"] for r in self.terms.where(F.col("term").isin(terms)).select("term", "df").collect()} if terms else {}
         return {t: found.get(t, 0) for t in terms}
 
+    def spreads(self, stems: list[str]) -> dict[str, int]:
+        """For each stem the sum of the document frequencies of the terms that begin with it. One aggregation over the terms, whatever their number."""
+        if not stems:
+            return {}
+        any_stem = reduce(or_, [F.col("term").startswith(s) for s in stems])
+        row = self.terms.where(any_stem).agg(*[F.coalesce(F.sum(F.when(F.col("term").startswith(s), F.col("df"))), F.lit(0)).alias(f"n{i}") for i, s in enumerate(stems)]).first()
+        return dict(zip(stems, row, strict=True))
+
     def positions(self, term: str, nth: int) -> DataFrame:
-        """The positions of a term in its nth document (from 0); no row past the end."""
-        order = Window.partitionBy("term").orderBy("doc_id")
-        numbered = self.postings.where(F.col("term") == term).withColumn("nth", F.row_number().over(order) - 1)
+        """The positions of a term in its nth document (from 0); no row past the end.
+
+        Documents are counted in stretches of STRETCH ids. Only the counts are summed in one place, and only the stretch that holds the nth is put in order.
+        """
+        own = self.postings.where(F.col("term") == term).select("doc_id", "positions", F.floor(F.col("doc_id") / STRETCH).alias("stretch"))
+        before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        counts = own.groupBy("stretch").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        held = counts.where((F.col("before") <= nth) & (F.col("before") + F.col("n") > nth)).select("stretch", "before")
+        order = Window.partitionBy("stretch").orderBy("doc_id")
+        numbered = own.join(held, "stretch").withColumn("nth", F.col("before") + F.row_number().over(order) - 1)
         return numbered.where(F.col("nth") == nth).select("doc_id", F.explode("positions").alias("position"))
 
     def vocabulary(self) -> DataFrame:
         return self.terms.select("term")
 
     def first_posting(self) -> DataFrame:
-        """(term, df, start): where each term's postings would begin in one list by term. Range partitioned by a sum of sums: no task sees all terms."""
-        # The first character splits the order into parts; only their totals are summed in one place.
-        part = F.substring("term", 1, 1)
+        """(term, df, start): where each term's postings would begin in one list by term. A sum of sums: no task sees all terms."""
+        # The first characters split the order into many parts; only their totals are summed in one place.
+        part = F.substring("term", 1, LEAD)
         totals = self.terms.groupBy(part.alias("part")).agg(F.sum("df").alias("n"))
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -76,9 +99,9 @@ class TextIndex:
         return own.select("term", "df", (F.col("base") + F.coalesce(F.sum("df").over(inside), F.lit(0))).alias("start"))
 
     def metadata(self, ids: DataFrame) -> DataFrame:
-        """ids with external_id and title; ids that no document has are <unknown>."""
+        """ids with external_id and title; ids that no document has get the title <unknown> and no external id."""
         known = ids.join(self.docs, "doc_id", "left")
-        return known.select("doc_id", F.coalesce("external_id", F.lit("<unknown>")).alias("external_id"), F.coalesce("title", F.lit("<unknown>")).alias("title"))
+        return known.select("doc_id", "external_id", F.coalesce("title", F.lit("<unknown>")).alias("title"))
 
     def stats(self) -> DataFrame:
         """documents, terms, postings, positions, and bytes: 4 for each number of the flat form and the terms' own."""
@@ -126,7 +149,7 @@ class TextIndex:
             for name in ("documents", "terms", "postings", "positions"):
                 if manifest.get(name) != found[name]:
                     raise IndexFormatError(f"{found[name]} {name} where the manifest has {manifest.get(name)}")
-        return loaded
+        return replace(loaded, documents=manifest.get("documents"), size=manifest.get("postings"))
 
 
 def term_table(postings: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import truncate
+from ..functions.text import format_duration, percentage, truncate
 from ..plans.evaluate import Planner, evaluate
 from ..plans.query import Expr, parse
 from .index import TextIndex
@@ -35,7 +36,7 @@ class Search:
         hits = self.doc_ids().agg(F.count("*").alias("hits")).select("hits", F.lit(0).cast("long").alias("documents"))
         whole = self.index.docs.agg(F.count("*").alias("documents")).select(F.lit(0).cast("long").alias("hits"), "documents")
         both = hits.union(whole).agg(F.sum("hits").alias("hits"), F.sum("documents").alias("documents"))
-        return both.withColumn("percent", F.round(100 * F.col("hits") / F.greatest("documents", F.lit(1)), 4))
+        return both.withColumn("percent", percentage(F.col("hits"), F.col("documents")))
 
     def top(self, n: int = 10) -> DataFrame:
         """The first n hits (doc_id, external_id, title); a top-k, not a sort of all hits."""
@@ -52,7 +53,8 @@ class Search:
         return Planner(self.expr, self.index).leaves()
 
     def report(self, n: int = 10) -> str:
-        out = []
+        began = time.time()
+        out = [f"query: {self.expr}"]
         if leaves := self.leaves():
             out.append("narrowest first: " + ", ".join(f"{leaf} ({bound:,})" for leaf, bound in leaves))
         s = self.summary().first()
@@ -62,9 +64,10 @@ class Search:
         for r in sorted(self.occurrences(n).collect(), key=lambda r: order[r["term"]]):
             counts.setdefault(r["doc_id"], []).append(f"{r['term']}×{r['n']}")
         for r in self.top(n).collect():
-            out.append(f"  #{r['doc_id']} {r['external_id']}  {r['title']}  {' '.join(counts.get(r['doc_id'], []))}".rstrip())
+            out.append("  ".join(x for x in (f"  #{r['doc_id']} {r['external_id'] or ''}".rstrip(), r["title"], " ".join(counts.get(r["doc_id"], []))) if x))
         if s["hits"] > n:
-            out.append(f"  … {s['hits'] - n:,} more")
+            out.append(f"  {s['hits'] - n:,} hits are not shown")
+        out.append(f"searched in {format_duration(time.time() - began)}")
         return "\n".join(out)
 
 

@@ -26,7 +26,7 @@ def append_batch(lines: DataFrame, batch: int, folder: str) -> None:
 
 def index_stream(spark: SparkSession, source: str, folder: str, once: bool = True) -> StreamingQuery:
     """Indexes files as they come to `source`; with once, what is there now, then stops."""
-    lines = spark.readStream.text(source)
+    lines = spark.readStream.text(source, lineSep="\n")
     writer = lines.writeStream.foreachBatch(lambda df, batch: append_batch(df, batch, folder)).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer).start()
 

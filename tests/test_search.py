@@ -1,11 +1,12 @@
 import json
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import cli
-from tessera.errors import IndexFormatError, IoError, PrefixTooWide, QueryError
+from tessera.errors import IndexFormatError, IoError, QueryError
 from tessera.functions.text import WORD, normalize_whitespace, token_table, tokenize, trim_space, truncate
 from tessera.operators.index import TextIndex, build_index
 from tessera.operators.search import Search, scan_term
@@ -16,15 +17,15 @@ from tessera.sources.corpus import from_documents, line_stats, lines_of, parse_l
 from tessera.streaming.ingest import index_stream, load_stream
 
 DOCS = [
-    (0, "Quantum error correction", "surface code quantum"),
-    (1, "Machine learning", "neural networks learn"),
-    (2, "Quantum computing", "quantum quantum quantum"),
-    (3, "", "alpha beta gamma delta epsilon"),
-    (4, "alpha beta", "gamma delta"),
-    (5, "", "alpha beta alpha"),
-    (6, "", "machine learning for medical imaging"),
-    (7, "Unicode 量子", "naïve don't 3.14"),
-    (8, "", "the more the merrier the more"),
+    (0, "Harbour lights at dusk", "small boats, harbour bells"),
+    (1, "Rye bread", "slow ovens bake at night"),
+    (2, "Harbour walls", "harbour harbour harbour"),
+    (3, "", "cedar maple birch willow aspen"),
+    (4, "cedar maple", "birch willow"),
+    (5, "", "cedar maple cedar"),
+    (6, "", "bread baking for hungry sailors"),
+    (7, "Mixed 茶道", "garçon isn't 2.75"),
+    (8, "", "so far so good so far"),
     (9, "", ""),
 ]
 
@@ -64,7 +65,7 @@ def spans(e, at, i):
     if isinstance(e, Prefix):
         return {(p, p) for t, docs in at.items() if t.startswith(e.stem) for p in docs.get(i, [])}
     if isinstance(e, Phrase):
-        return {(s, s + len(e.words) - 1) for s in at.get(e.words[0], {}).get(i, []) if all(s + k in at.get(w, {}).get(i, []) for k, w in enumerate(e.words))}
+        return set() if not e.words else {(s, s + len(e.words) - 1) for s in at.get(e.words[0], {}).get(i, []) if all(s + k in at.get(w, {}).get(i, []) for k, w in enumerate(e.words))}
     a, b = spans(e.left, at, i), spans(e.right, at, i)
     if isinstance(e, Or):
         return a | b
@@ -79,9 +80,9 @@ def found(expr, index, plan):
 @pytest.mark.parametrize(
     ("query", "ids"),
     [
-        ("alpha AND gamma", [3, 4]), ("alpha NOT gamma", [5]), ("'production cross' OR quantum", [0, 2]), ("quantum NOT (error AND code)", [2]), ('"the more the merrier"', [8]), ('"the the"', []),
-        ("beta NEAR/100 gamma", [3]), ("beta NEAR/101 gamma", [3, 4]), ("alpha NEAR/2 alpha", [5]), ("alpha NEAR/1 alpha", []), ("'machine learning' NEAR/2 medical", [6]), ("'machine learning' NEAR/1 medical", []),
-        ("medical ONEAR/5 machine", []), ("(alpha OR quantum) NEAR/1 (beta OR error)", [0, 3, 4, 5]), ("量子", [7]), ("don't 3.14", [7]), ("learn*", [1, 6]), ("(alpha NEAR/1 beta) NEAR/1 gamma", [3]), ("flurbles AND alpha", []), ("alpha NOT flurbles", [3, 4, 5]),
+        ("cedar AND birch", [3, 4]), ("cedar NOT birch", [5]), ("'walls harbour' OR dusk", [0]), ("harbour NOT (boats AND lights)", [2]), ('"so far so good"', [8]), ('"so so"', []),
+        ("maple NEAR/100 birch", [3]), ("maple NEAR/101 birch", [3, 4]), ("cedar NEAR/2 cedar", [5]), ("cedar NEAR/1 cedar", []), ("'bread baking' NEAR/2 hungry", [6]), ("'bread baking' NEAR/1 hungry", []),
+        ("hungry ONEAR/5 bread", []), ("(cedar OR harbour) NEAR/1 (maple OR walls)", [2, 3, 4, 5]), ("茶道", [7]), ("isn't 2.75", [7]), ("bak*", [1, 6]), ("bak* NEAR/1 b*", [6]), ("(cedar NEAR/1 maple) NEAR/1 birch", [3]), ("flurbles AND cedar", []), ("cedar NOT flurbles", [3, 4, 5]), ("zz* OR cedar", [3, 4, 5]),
     ],
 )
 def test_queries(index, query, ids):
@@ -101,12 +102,73 @@ def tree(rng, depth, words, positional=False):
     return kind(tree(rng, depth - 1, words, positional), tree(rng, depth - 1, words, positional))
 
 
-def test_random_trees(index):
-    rng, at = random.Random(3), places(DOCS)
-    for k in range(14):
-        expr = tree(rng, 3, ["alpha", "beta", "gamma", "quantum", "the", "more"])
-        assert parse(str(expr)) == expr
-        assert found(expr, index, "AB"[k % 2]) == sorted(brute(expr, at, range(10))), str(expr)
+WORDS = ["cedar", "maple", "birch", "harbour", "so", "far"]
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """The documents above and random ones of the same few words."""
+    rng = random.Random(30)
+    docs = DOCS + [(10 + i, " ".join(rng.choices(WORDS, k=rng.randint(0, 3))), " ".join(rng.choices(WORDS, k=rng.randint(0, 12)))) for i in range(50)]
+    path = str(tmp_path_factory.mktemp("index") / "many")
+    build_index(table(spark, docs)).save(path)
+    return docs, TextIndex.load(spark, path)
+
+
+def held_by_both_plans(exprs, docs, index):
+    """Every expression in both plans, in few jobs."""
+    at, ids = places(docs), [d[0] for d in docs]
+    for start in range(0, len(exprs), 12):
+        part = exprs[start : start + 12]
+        tables = [evaluate(e, index, plan, counted=(k + (plan == "A")) % 2 == 0).select(F.lit(k).alias("k"), F.lit(plan).alias("plan"), "doc_id") for k, e in enumerate(part) for plan in "AB"]
+        rows = [tuple(r) for r in reduce(lambda a, b: a.union(b), tables).collect()]
+        for k, e in enumerate(part):
+            wanted = sorted(brute(e, at, ids))
+            for plan in "AB":
+                assert sorted(r[2] for r in rows if r[:2] == (k, plan)) == wanted, (plan, str(e))
+
+
+def test_random_trees(many):
+    rng = random.Random(3)
+    exprs = []
+    while len(exprs) < 72:
+        expr = tree(rng, 4, WORDS)
+        if expr.size() <= 24:
+            assert parse(str(expr)) == expr
+            exprs.append(expr)
+    assert max(e.size() for e in exprs) > 12
+    held_by_both_plans(exprs, *many)
+
+
+def test_random_phrases(many):
+    rng = random.Random(4)
+    docs, index = many
+    phrases = []
+    for _ in range(48):
+        words = [t.normalized for t in tokenize(rng.choice(docs)[2])]
+        n, at = rng.randint(1, 4), rng.randrange(max(1, len(words)))
+        phrases.append(Phrase(tuple(words[at : at + n] if rng.random() < 0.7 else rng.choices(WORDS, k=n))))
+    held_by_both_plans([*phrases, Phrase(()), Or(Phrase(()), Term("so")), Not(Term("so"), Phrase(())), Near(Phrase(("so",)), Phrase(()), 3), Phrase(("so",))], docs, index)
+
+
+def test_long_queries(many):
+    docs, index = many
+    words = [f"w{i}" for i in range(1200)]
+    for op in ("AND", "OR", "NOT"):
+        expr = parse(f" {op} ".join(["cedar", *words]))
+        assert expr.size() == 2401 and parse(str(expr)) == expr and len({expr, parse(str(expr))}) == 1
+        assert Planner(expr, index).bounds[id(expr)] == (0 if op == "AND" else index.document_frequency("cedar"))
+    assert found(parse(" OR ".join(["cedar", *words])), index, "A") == found(Term("cedar"), index, "A")
+    nested = parse("(" * 5000 + "cedar" + ")" * 5000)
+    assert nested == Term("cedar")
+    deep, at, ids = "so", places(docs), [d[0] for d in docs]
+    for i in range(80):
+        deep = f"(({deep}) {'AND' if i % 2 else 'OR'} {WORDS[i % 5]})"
+        if i == 15:
+            held_by_both_plans([parse(deep)], docs, index)
+    assert found(parse(deep), index, "A") == sorted(brute(parse(deep), at, ids))
+    with pytest.raises(QueryError):
+        parse("(" * 5000)
 
 
 def test_proximity_laws(spark):
@@ -125,16 +187,16 @@ def test_index_against_definition(index):
     assert {r["term"]: (r["df"], r["cf"]) for r in index.terms.collect()} == {t: (len(d), sum(map(len, d.values()))) for t, d in at.items()}
     stats = index.stats().first()
     assert (stats["documents"], stats["terms"], stats["postings"], stats["positions"]) == (10, len(at), len(got), sum(map(len, got.values())))
-    assert [r["position"] for r in index.positions("quantum", 1).orderBy("position").collect()] == [0, 102, 103, 104]
-    assert index.positions("quantum", 2).count() == 0
-    assert index.document_frequency("quantum") == 2 and index.document_frequency("Quantum") == 0
+    assert [r["position"] for r in index.positions("harbour", 1).orderBy("position").collect()] == [0, 102, 103, 104]
+    assert index.positions("harbour", 2).count() == 0
+    assert index.document_frequency("harbour") == 2 and index.document_frequency("Harbour") == 0
     starts = [(r["term"], r["start"]) for r in index.first_posting().orderBy("term").collect()]
     total = 0
     for term, start in starts:
         assert start == total
         total += len(at[term])
     unknown = index.metadata(index.docs.sparkSession.createDataFrame([(99,)], "doc_id long")).first()
-    assert unknown["title"] == "<unknown>"
+    assert unknown["title"] == "<unknown>" and unknown["external_id"] is None
 
 
 def test_saved_index_is_checked(spark, index, tmp_path):
@@ -157,24 +219,35 @@ def test_saved_index_is_checked(spark, index, tmp_path):
 
 
 def test_planner(index):
-    planner = Planner(parse("alpha gamma quantum NOT beta"), index)
+    planner = Planner(parse("cedar birch harbour NOT maple"), index)
     required, excluded = planner.branches()
-    assert [str(b) for b in required] == ["gamma", "quantum", "alpha"] and [str(b) for b in excluded] == ["beta"]
-    assert Planner(parse("alpha"), index).leaves() == []
-    assert Planner(parse("alpha 'quantum error' NOT the"), index).leaves() == [('"quantum error"', 1), ("the", 1), ("alpha", 3)]
+    assert [str(b) for b in required] == ["birch", "harbour", "cedar"] and [str(b) for b in excluded] == ["maple"]
+    assert Planner(parse("cedar"), index).leaves() == []
+    assert Planner(parse("cedar 'harbour walls' NOT so"), index).leaves() == [('"harbour walls"', 1), ("so", 1), ("cedar", 3)]
     assert Planner(parse("((a NEAR/1 b) NEAR/1 c) NEAR/1 d"), index).plan() == "B"
     with pytest.raises(QueryError):
         Planner(Near(And(Term("a"), Term("b")), Term("c"), 3), index)
 
 
 def test_wide_prefix(spark):
-    index = build_index(from_documents(spark.createDataFrame([(0, " ".join(f"zz{i}" for i in range(1025)))], "doc_id long, text string")))
-    with pytest.raises(PrefixTooWide):
-        evaluate(parse("zz*"), index)
+    docs = [(i, "", " ".join(f"zz{i}x{j}" for j in range(60)) + " other") for i in range(40)] + [(40, "", "other zebra"), (41, "zza", "x")]
+    index = build_index(table(spark, docs))
+    held_by_both_plans([Prefix("zz"), Prefix("zz1"), Near(Prefix("zz"), Term("other"), 1), And(Prefix("z"), Not(Term("other"), Prefix("zz2")))], docs, index)
+    planner = Planner(parse("zz* other"), index)
+    assert planner.wide == {"zz": 2401} and planner.df == {"other": 41}
+
+
+def test_statistics_thin_a_scan(spark):
+    docs = [(i, "", "common words here" + (" rare" if i == 7 else "")) for i in range(60)]
+    index = build_index(table(spark, docs))
+    expr = parse("common AND words AND rare NOT here*")
+    held_by_both_plans([expr, parse("common AND 'here rare'"), parse("common AND (rare OR 'here rare')")], docs, index)
+    assert "LeftSemi" in evaluate(expr, index, "A", counted=True)._jdf.queryExecution().toString()
+    assert found(parse("common AND flurbles*"), index, None) == []
 
 
 def test_sets_do_not_depend_on_hints(index):
-    a, b = index.doc_ids("alpha"), index.doc_ids("gamma")
+    a, b = index.doc_ids("cedar"), index.doc_ids("birch")
     ids = lambda df: sorted(r["doc_id"] for r in df.collect())
     for s in ("adaptive", "broadcast", "merge", "hash"):
         assert ids(intersect(a, b, s)) == [3, 4] and ids(difference(a, b, s)) == [5]
@@ -182,11 +255,11 @@ def test_sets_do_not_depend_on_hints(index):
 
 
 def test_search_report(index, spark):
-    search = Search.of(index, "alpha NOT quantum")
+    search = Search.of(index, "cedar NOT harbour")
     report = search.report(2)
-    assert "3 hits, 30.0000 % of 10 documents" in report and "alpha×1" in report and "… 1 more" in report and "narrowest first: quantum (2), alpha (3)" in report
+    assert "3 hits, 30.0000 % of 10 documents" in report and "cedar×1" in report and "1 hits are not shown" in report and "narrowest first: harbour (2), cedar (3)" in report and "query: (cedar NOT harbour)" in report
     assert [r["doc_id"] for r in search.top(2).collect()] == [3, 4]
-    assert sorted(r["doc_id"] for r in scan_term(table(spark, DOCS), "alpha").collect()) == [3, 4, 5]
+    assert sorted(r["doc_id"] for r in scan_term(table(spark, DOCS), "cedar").collect()) == [3, 4, 5]
 
 
 LINES = [
@@ -200,29 +273,53 @@ LINES = [
     json.dumps({"id": "e", "title": "T"}),
     "[1]",
     '{"id": "f", "title": "T", "abstract": "x", "n": NaN}',
-    json.dumps({"id": "g", "title": "T", "abstract": "y"}),
+    '{"id": "h", "title": "half \\ud800", "abstract": "x"}',
+    '{"id": "g", "title": "T", "other": "\\ud800", "abstract": "y\\ud83d\\ude00"}\r',
 ]
 
 
 def test_jsonl(spark, tmp_path):
     path = tmp_path / "c.jsonl"
-    path.write_text("\n".join(LINES) + "\n")
+    path.write_bytes(("\n".join(LINES) + "\n").encode())
     docs, bad = read_jsonl(spark, str(path))
     rows = docs.orderBy("doc_id").collect()
     assert [(r["doc_id"], r["external_id"]) for r in rows] == [(0, "a"), (1, "b"), (2, "g")]
     assert (rows[0]["title"], rows[0]["body"]) == ("Hard wrapped", "body\nkept")
-    assert sorted(r["line"] for r in bad.collect()) == [3, 5, 6, 7, 8, 9, 10]
+    assert sorted(r["line"] for r in bad.collect()) == [3, 5, 6, 7, 8, 9, 10, 11]
+    assert rows[2]["body"] == "y\U0001f600"
     said = warnings(bad)
     assert len(said) == 6 and said[0].startswith("malformed record at ") and "c.jsonl:3" in said[0]
     assert read_jsonl(spark, str(path), 2)[0].count() == 2
     stats = line_stats(read_lines(spark, str(path))).first()
-    assert (stats["lines_read"], stats["bytes_read"]) == (11, len(path.read_bytes()))
+    assert (stats["lines_read"], stats["bytes_read"]) == (12, len(path.read_bytes()))
     with pytest.raises(IoError):
         read_lines(spark, str(tmp_path / "none"))
     good, _ = parse_lines(lines_of(spark.createDataFrame([(x,) for x in LINES], "value string"), "memory"))
     assert good.count() == 3
 
 
+def test_ids_over_many_files_and_splits(spark, tmp_path, monkeypatch):
+    from tessera.sources import corpus
+
+    (tmp_path / "in").mkdir()
+    wanted, lines = [], []
+    for name in ("b", "a", "c"):
+        rows = [json.dumps({"id": f"{name}{i}", "title": "T", "abstract": "x" * 40}) if i % 7 else ("bad" if i % 2 else "") for i in range(400)]
+        (tmp_path / "in" / name).write_text("\n".join(rows))
+    for name in "abc":
+        wanted += [f"{name}{i}" for i in range(400) if i % 7]
+        lines += [(name, i + 1) for i in range(400) if i % 7 == 0 and i % 2]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        for most in (corpus.MOST_BLOCKS, 2):
+            monkeypatch.setattr(corpus, "MOST_BLOCKS", most)
+            docs, bad = read_jsonl(spark, str(tmp_path / "in"))
+            assert [(r["doc_id"], r["external_id"]) for r in docs.orderBy("doc_id").collect()] == list(enumerate(wanted))
+            assert sorted((r["path"][-1], r["line"]) for r in bad.collect()) == lines
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_text_columns(spark):
     text = "  a \t\n b\x0bc d  "
     row = spark.createDataFrame([(text,)], "t string").select(normalize_whitespace(F.col("t")), trim_space(F.col("t")), truncate(F.lit("abcdef"), 4)).first()
@@ -257,7 +354,7 @@ def test_driver_and_spark_split_alike(spark):
 
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.jsonl").write_text("\n".join(LINES))
+    (tmp_path / "in" / "1.jsonl").write_bytes("\n".join(LINES).encode())
     index_stream(spark, str(tmp_path / "in"), str(tmp_path / "ix")).awaitTermination()
     (tmp_path / "in" / "2.jsonl").write_text(json.dumps({"id": "z", "title": "more", "abstract": "x wrapped"}))
     index_stream(spark, str(tmp_path / "in"), str(tmp_path / "ix")).awaitTermination()
@@ -268,16 +365,20 @@ def test_stream(spark, tmp_path):
 
 
 def test_cli(spark, tmp_path, capsys):
-    (tmp_path / "c.jsonl").write_text("\n".join(LINES))
+    (tmp_path / "c.jsonl").write_bytes("\n".join(LINES).encode())
     out = str(tmp_path / "ix")
     assert cli.main(["index", "-i", str(tmp_path / "c.jsonl"), "-o", out], spark) == 0
-    assert "3 documents of 11 lines" in capsys.readouterr().out
+    assert "3 documents of 12 lines" in capsys.readouterr().out
     assert cli.main(["search", "wrapped OR x", "-i", out, "-n", "1"], spark) == 0
     assert "2 hits" in capsys.readouterr().out
     assert cli.main(["search", "(", "-i", "nowhere"], spark) == 1
     assert "invalid query at byte 1" in capsys.readouterr().err
     assert cli.main(["search", "x", "-i", str(tmp_path / "none")], spark) == 1
     assert "caused by:" in capsys.readouterr().err
-    (tmp_path / "q").write_text("wrapped\n\nx\n")
+    (tmp_path / "q").write_text("wrapped\n\nx\n(\n")
     assert cli.main(["bench", "-i", out, "-q", str(tmp_path / "q")], spark) == 0
-    assert "p99 " in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "p99 " in said and "(: invalid query" in said
+    assert cli.main(["bench", "-i", out, "-q", str(tmp_path / "none")], spark) == 1
+    assert cli.main(["bench", "-i", out], spark) == 0
+    assert "NEAR/5" in capsys.readouterr().out
