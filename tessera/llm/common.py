@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -73,10 +74,15 @@ def map_texts(df: DataFrame, column: str, added: list[T.StructField], step: Call
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one where none is set (single machine, tests)."""
+    """The shared folder that the session names; where none is set and everything runs on one machine (tests), a temporary one.
+
+    On a cluster without one this is an error: a machine's own folder would hold a part of each table.
+    """
     own = spark.sparkContext.getCheckpointDir()
     got = spark.conf.get("spark.checkpoint.dir", None) or own
     if not got:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(got)
         got = spark.sparkContext.getCheckpointDir()
@@ -109,23 +115,34 @@ class Scratch:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Bits of a map that thins rows before they are shuffled. More keys only make it thin less; the exact join follows.
-MAP_BITS = 1 << 20
+#: Bits of a map that thins rows before they are shuffled: BITS_PER_KEY for each key, between these bounds (2 MB at most). More keys only make it thin less; the exact join follows.
+MAP_BITS = (1 << 20, 1 << 24)
+BITS_PER_KEY = 8
 
 
-def bit_map(hashes: DataFrame) -> Column:
-    """A literal array of longs with the bit of each hash (the only column) set. The driver gets MAP_BITS / 64 rows at most."""
+def bit_longs(hashes: DataFrame, keys: int = 0) -> list[int]:
+    """Longs with the bit of each hash (the only column) set; keys: how many there are, about. The driver gets one row for each long at most."""
     (name,) = hashes.columns
-    bit = F.pmod(F.col(f"`{name}`"), F.lit(MAP_BITS))
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], 1 << (BITS_PER_KEY * keys - 1).bit_length()))
+    bit = F.pmod(F.col(f"`{name}`"), F.lit(bits))
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
     rows = hashes.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("at")).agg(F.bit_or(one).alias("bits")).collect()
-    longs = [0] * (MAP_BITS // 64)
+    longs = [0] * (bits // 64)
     for r in rows:
         if r["at"] is not None:
             longs[r["at"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+    return longs
 
 
-def in_bit_map(seen: Column, hashed: Column) -> Column:
-    bit = F.pmod(hashed, F.lit(MAP_BITS))
+def in_bit_map(longs: list[int], hashed: Column) -> Column:
+    """Whether the bit of a hash is set; nothing is when the map is empty."""
+    if not any(longs):
+        return F.lit(False)
+    seen = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+    bit = F.pmod(hashed, F.lit(64 * len(longs)))
     return F.call_function("shiftright", F.element_at(seen, (F.floor(bit / 64) + 1).cast("int")), (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def twin(*columns: Column | str) -> Column:
+    """A second 64-bit hash, of another seed than xxhash64(*columns), so that both together are 128 bits."""
+    return F.xxhash64(F.lit("twin"), *columns)
