@@ -16,7 +16,7 @@ Scale: what is shuffled of lines are hashes. Line texts are shuffled only for li
 of fixed size. Each text meets its decisions in one join. Every count is over all documents; hot lines are pre-aggregated.
 
 Null texts stay null, texts without dropped lines stay as they are, a text may become empty; rows are never dropped.
-Ids may be null or repeat: rows are told apart by their text. All columns stay, whatever their names. An empty table stays empty.
+Ids may be null or repeat: rows are told apart by 128 bits of hash of their text. All columns stay, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_map, fresh, in_bit_map, table, without
+from .common import Scratch, bit_longs, fresh, in_bit_map, table, twin, without
 
 MIN_TOKENS = 3
 DEPTH = 3
@@ -33,6 +33,8 @@ CONSTANT = 0.7
 SHARE = 0.25
 OWN = 0.5
 FIELD = "<*>"
+#: Texts, leaves and templates are each known by two hashes, 128 bits.
+DOC, LEAF, TEMPLATE = ("doc", "doc2"), ("leaf", "leaf2"), ("template", "template2")
 
 
 def form(line: Column) -> Column:
@@ -49,60 +51,67 @@ def lines(df: DataFrame, text: str) -> DataFrame:
     """A row for each line that counts: doc (hash of the text), at (line number), form (tokens, fields generalised), leaf, the witnesses, and the characters of the text and of all its lines that count."""
     body = F.col(f"`{text}`")
     # Each of these steps is used more than once, so it is a projection of its own; forms are made inside the generator, once.
-    own = df.where(body.isNotNull()).select(F.xxhash64(body, F.length(body)).alias("doc"), F.split(body, "\n", -1).alias("lines"))
+    own = df.where(body.isNotNull()).select(F.xxhash64(body).alias("doc"), twin(body).alias("doc2"), F.split(body, "\n", -1).alias("lines"))
     own = own.withColumn("filled", F.filter("lines", lambda x: F.trim(x) != ""))
     longest = F.array_max(F.transform("filled", lambda x: F.named_struct(F.lit("n"), F.char_length(x), F.lit("line"), x)))["line"]
-    own = own.select("doc", F.xxhash64(F.get("filled", 0)).alias("w0"), F.xxhash64(F.try_element_at("filled", F.lit(-1))).alias("w1"), F.xxhash64(longest).alias("w2"), F.transform("lines", form).alias("forms"))
+    own = own.select(*DOC, F.xxhash64(F.get("filled", 0)).alias("w0"), F.xxhash64(F.try_element_at("filled", F.lit(-1))).alias("w1"), F.xxhash64(longest).alias("w2"), F.transform("lines", form).alias("forms"))
     # A form has MIN_TOKENS tokens if something is left after the first MIN_TOKENS - 1.
     chars = lambda acc, x: F.named_struct(F.lit("whole"), acc["whole"] + F.char_length(x), F.lit("counted"), acc["counted"] + F.when(F.substring_index(x, " ", MIN_TOKENS - 1) == x, 0).otherwise(F.char_length(x)))
     own = own.withColumn("chars", F.aggregate("forms", F.named_struct(F.lit("whole"), F.lit(0), F.lit("counted"), F.lit(0)), chars))
-    own = own.select("doc", "w0", "w1", "w2", "chars", F.posexplode("forms").alias("at", "form"))
+    own = own.select(*DOC, "w0", "w1", "w2", "chars", F.posexplode("forms").alias("at", "form"))
     tokens = F.char_length("form") - F.char_length(F.replace(F.col("form"), F.lit(" "))) + 1
     counted = own.withColumn("n", tokens).where(F.col("n") >= MIN_TOKENS)
-    return counted.withColumn("leaf", F.xxhash64("n", F.substring_index("form", " ", DEPTH)))
+    lead = F.substring_index("form", " ", DEPTH)
+    return counted.withColumn("leaf", F.xxhash64("n", lead)).withColumn("leaf2", twin("n", lead))
 
 
 def templates(forms: DataFrame) -> DataFrame:
     """(leaf, form_hash, template): of each form its template, null if too few tokens are constant."""
-    rest = forms.select("leaf", "form_hash", "docs", "n", F.posexplode(F.split("form", " ")).alias("at", "token")).where(F.col("at") >= DEPTH)
-    constant = rest.where(f"token <> '{FIELD}'").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs")
-    marked = rest.drop("docs").join(constant.withColumn("constant", F.lit(True)), ["leaf", "at", "token"], "left")
-    per_form = marked.groupBy("leaf", "form_hash").agg(F.sum(F.when(F.col("constant"), 1).otherwise(0)).alias("k"), F.sort_array(F.collect_list(F.struct("at", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD)).alias("token")))).alias("tail"))
-    of = forms.select("leaf", "form_hash", "n", "form").join(per_form, ["leaf", "form_hash"], "left")
+    rest = forms.select(*LEAF, "form_hash", "docs", "n", F.posexplode(F.split("form", " ")).alias("at", "token")).where(F.col("at") >= DEPTH)
+    constant = rest.where(f"token <> '{FIELD}'").groupBy(*LEAF, "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs")
+    marked = rest.drop("docs").join(constant.withColumn("constant", F.lit(True)), [*LEAF, "at", "token"], "left")
+    per_form = marked.groupBy(*LEAF, "form_hash").agg(F.sum(F.when(F.col("constant"), 1).otherwise(0)).alias("k"), F.sort_array(F.collect_list(F.struct("at", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD)).alias("token")))).alias("tail"))
+    of = forms.select(*LEAF, "form_hash", "n", "form").join(per_form, [*LEAF, "form_hash"], "left")
     head = F.split(F.substring_index("form", " ", DEPTH), " ")
     fixed = F.coalesce("k", F.lit(0)) + F.size(F.filter(head, lambda t: t != FIELD))
-    return of.select("leaf", "form_hash", F.when(fixed >= CONSTANT * F.col("n"), F.xxhash64("leaf", F.col("tail.token"))).alias("template"))
+    whole = [*LEAF, F.col("tail.token")]
+    return of.where(fixed >= CONSTANT * F.col("n")).select(*LEAF, "form_hash", F.xxhash64(*whole).alias("template"), twin(*whole).alias("template2"))
 
 
 def dropped_lines(df: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """(doc, drop): for texts with lines of recurring templates their line numbers."""
     found = lines(df, text)
-    leaves = found.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
+    leaves = found.select(*LEAF, *DOC).distinct().groupBy(*LEAF).agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS).select(*LEAF)
     leaves, _ = scratch.write(leaves)
-    thin = found.where(in_bit_map(bit_map(leaves), F.col("leaf"))).withColumn("form_hash", F.xxhash64("form"))
-    shared, _ = scratch.write(thin.join(leaves, "leaf", "left_semi"))
-    forms = shared.select("leaf", "form_hash", "n", "form", "doc").groupBy("leaf", "form_hash", "n", "form", "doc").agg(F.lit(1)).groupBy("leaf", "form_hash", "n", "form").agg(F.count("*").alias("docs"))
-    named = shared.withColumn("size", F.char_length("form")).drop("form", "n").join(templates(forms).where("template IS NOT NULL"), ["leaf", "form_hash"])
-    named, _ = scratch.write(named.select("template", "doc", "at", "w0", "w1", "w2", "size", "chars"))
-    texts = named.groupBy("template", "doc", "w0", "w1", "w2").agg(F.lit(1)).select("template", F.posexplode(F.array("w0", "w1", "w2")).alias("witness", "value"))
-    agree = texts.groupBy("template", "witness", "value").agg(F.count("*").alias("texts"))
-    agree = agree.groupBy("template", "witness").agg(F.max("texts").alias("most"), F.sum("texts").alias("docs"))
-    recurring = agree.groupBy("template").agg(F.min("most").alias("most"), F.max("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS)
+    thin = found.where(in_bit_map(bit_longs(leaves.select("leaf"), leaves.count()), F.col("leaf"))).withColumn("form_hash", F.xxhash64("form"))
+    shared, _ = scratch.write(thin.join(leaves, [*LEAF], "left_semi"))
+    forms = shared.groupBy(*LEAF, "form_hash", "n", "form", *DOC).agg(F.lit(1)).groupBy(*LEAF, "form_hash", "n", "form").agg(F.count("*").alias("docs"))
+    # Written, so that both sides of the join with all lines are plain exchanges, which can be split where a form is hot.
+    of_form, _ = scratch.write(templates(forms))
+    named = shared.withColumn("size", F.char_length("form")).drop("form", "n").join(of_form, [*LEAF, "form_hash"])
+    named, _ = scratch.write(named.select(*TEMPLATE, *DOC, "at", "w0", "w1", "w2", "size", "chars"))
+    texts = named.groupBy(*TEMPLATE, *DOC, "w0", "w1", "w2").agg(F.lit(1)).select(*TEMPLATE, F.posexplode(F.array("w0", "w1", "w2")).alias("witness", "value"))
+    agree = texts.groupBy(*TEMPLATE, "witness", "value").agg(F.count("*").alias("texts"))
+    agree = agree.groupBy(*TEMPLATE, "witness").agg(F.max("texts").alias("most"), F.sum("texts").alias("docs"))
+    recurring = agree.groupBy(*TEMPLATE).agg(F.min("most").alias("most"), F.max("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS)
     recurring, _ = scratch.write(recurring)
     # Texts that are mostly their own, and the templates that stand in enough of them.
-    within = named.join(recurring, "template", "left_semi").groupBy("doc", "chars").agg(F.sum("size").alias("shared"))
-    different = within.where(F.col("chars.counted") - F.col("shared") >= OWN * F.col("chars.whole")).select("doc")
-    apart = named.join(different, "doc", "left_semi").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("own")).where(F.col("own") >= MIN_DOCS).select("template")
-    boiler = recurring.where(F.col("most") <= SHARE * F.col("docs")).select("template").union(apart)
-    return named.join(boiler, "template", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("drop"))
+    within = named.join(recurring, [*TEMPLATE], "left_semi").groupBy(*DOC, "chars").agg(F.sum("size").alias("shared"))
+    different = within.where(F.col("chars.counted") - F.col("shared") >= OWN * F.col("chars.whole")).select(*DOC)
+    apart = named.join(different, [*DOC], "left_semi").select(*TEMPLATE, *DOC).distinct().groupBy(*TEMPLATE).agg(F.count("*").alias("own")).where(F.col("own") >= MIN_DOCS).select(*TEMPLATE)
+    boiler, _ = scratch.write(recurring.where(F.col("most") <= SHARE * F.col("docs")).select(*TEMPLATE).union(apart))
+    return named.join(boiler, [*TEMPLATE], "left_semi").groupBy(*DOC).agg(F.collect_set("at").alias("drop"))
 
 
 def drop_boilerplate(df: DataFrame, text: str = "text", counted: bool = False) -> DataFrame:
     """df with the lines of recurring templates gone from its texts; if counted also n_lines and n_dropped (long)."""
-    key, drop = fresh(df, "doc", "drop")
+    key, key2, drop = fresh(df, "doc", "doc2", "drop")
     body = F.col(f"`{text}`")
-    decisions = dropped_lines(df, text, Scratch(df.sparkSession)).select(F.col("doc").alias(key), F.col("drop").alias(drop))
-    joined = df.withColumn(key, F.xxhash64(body, F.length(body))).join(decisions, key, "left")
+    scratch = Scratch(df.sparkSession)
+    # Written, so that the join can be split where very many rows have one text.
+    decisions, _ = scratch.write(dropped_lines(df, text, scratch))
+    decisions = decisions.select(F.col("doc").alias(key), F.col("doc2").alias(key2), F.col("drop").alias(drop))
+    joined = df.withColumn(key, F.xxhash64(body)).withColumn(key2, twin(body)).join(decisions, [key, key2], "left")
     kept: Column = F.filter(F.split(body, "\n", -1), lambda line, at: ~F.array_contains(F.col(drop), at))
     out = F.when(F.col(drop).isNull(), body).otherwise(F.array_join(kept, "\n"))
     columns = [out.alias(c) if c == text else F.col(f"`{c}`") for c in (without(df, "n_lines", "n_dropped") if counted else df).columns]
