@@ -89,7 +89,8 @@ def dropped_lines(df: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     # Written, so that both sides of the join with all lines are plain exchanges, which can be split where a form is hot.
     of_form, _ = scratch.write(templates(forms))
     named = shared.withColumn("size", F.char_length("form")).drop("form", "n").join(of_form, [*LEAF, "form_hash"])
-    named, _ = scratch.write(named.select(*TEMPLATE, *DOC, "at", "w0", "w1", "w2", "size", "chars"))
+    # Copies of a text are one text from here on.
+    named, _ = scratch.write(named.select(*TEMPLATE, *DOC, "at", "w0", "w1", "w2", "size", "chars").distinct())
     texts = named.groupBy(*TEMPLATE, *DOC, "w0", "w1", "w2").agg(F.lit(1)).select(*TEMPLATE, F.posexplode(F.array("w0", "w1", "w2")).alias("witness", "value"))
     agree = texts.groupBy(*TEMPLATE, "witness", "value").agg(F.count("*").alias("texts"))
     agree = agree.groupBy(*TEMPLATE, "witness").agg(F.max("texts").alias("most"), F.sum("texts").alias("docs"))
