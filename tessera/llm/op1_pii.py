@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bit_map, in_bit_map, table
+from .common import Scratch, bit_longs, in_bit_map, table
 
 #: The kinds' patterns, made linear: a match begins where the last one ended or where no character stands that could extend it to the left.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -38,13 +38,14 @@ GENERALISE = 0.7
 REMOVE = 0.9
 #: What stands for spans in sanitised texts.
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "term": ""}
+#: Matches in one text from which on they are located in parts.
+MANY = 64
 NO_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def located(text: Column, gaps: Column, found: Column, kind: str) -> Column:
     """Spans of the matches `found`, between which `gaps` stand."""
     empty = F.array().cast(NO_SPANS)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def add(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.char_length(pair["gap"])
@@ -52,8 +53,17 @@ def located(text: Column, gaps: Column, found: Column, kind: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["match"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
+    def locate(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), empty.alias("spans")), add)
+
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda acc: acc["spans"])).otherwise(empty)
+    # A list that grows is copied at every step: many matches are located in parts of about the root of their number.
+    size = F.ceil(F.sqrt(F.size(found))).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / size).cast("int")), lambda i: F.slice(pairs, i * size + 1, size))
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{NO_SPANS}>").alias("lists"))
+    join = lambda acc, done: F.struct(done["at"].alias("at"), F.concat(acc["lists"], F.array(done["spans"])).alias("lists"))
+    many = F.aggregate(parts, nothing, lambda acc, part: F.aggregate(F.array(locate(part, acc["at"])), acc, join), lambda acc: F.flatten(acc["lists"]))
+    return F.when(F.size(found) > MANY, many).when(F.size(found) > 0, locate(pairs, F.lit(0))["spans"]).otherwise(empty)
 
 
 def digits(value: Column) -> Column:
@@ -118,7 +128,7 @@ def disclosed(base: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     reveal = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9))
     pairs, _ = scratch.write(pairs.join(of_entity, "entity").join(with_any, "term").where(reveal >= GENERALISE).select("entity", "term", "n_te", "n_e"))
     # Corpus counts of the candidate terms: words of all texts, thinned before they are shuffled.
-    seen = bit_map(pairs.select(F.xxhash64("term")).distinct())
+    seen = bit_longs(pairs.select(F.xxhash64("term").alias("h")).distinct(), pairs.count())
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), rf"[^{LETTERS}]+"))).alias("term"))
     of_term = words.where(in_bit_map(seen, F.xxhash64("term"))).groupBy("term").agg(F.count("*").alias("n_t"))
     known = pairs.join(of_term, "term").select("entity", "term", F.least(reveal, F.lit(1.0)).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
@@ -128,9 +138,11 @@ def disclosed(base: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def find(df: DataFrame, id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """(id, text, spans) for each row of df; unless `whole`, texts of rows without spans are left out (null). spans: structs of kind, start, end, value; the kinds general and term hold disclosing terms."""
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(id).alias("__id"), body.alias("__text"), F.xxhash64(F.col(id), body).alias("__key"))
+    # Rows are known by 128 bits of hash of id and text, texts by as many.
+    named = F.concat(F.coalesce(F.col(id).cast("string"), F.lit("")), F.when(F.col(id).isNull(), "?").otherwise(":"), body)
+    docs = df.select(F.col(id).alias("__id"), body.alias("__text"), F.unhex(F.md5(named)).alias("__key"))
     spans = base_spans(docs, "__text").select("__id", "__key", "__spans", F.when((F.size("__spans") > 0) | F.lit(whole), F.col("__text")).alias("__text"))
-    base, _ = Scratch(df.sparkSession).write(spans.withColumn("__hash", F.xxhash64("__text")))
+    base, _ = Scratch(df.sparkSession).write(spans.withColumn("__hash", F.unhex(F.md5("__text"))))
     terms = disclosed(base, docs, "__text")
     per_doc = terms.groupBy("__key").agg(
         F.sort_array(F.collect_set(F.when(F.col("disclosure") < REMOVE, F.col("term")))).alias("general"), F.sort_array(F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term")))).alias("term")
