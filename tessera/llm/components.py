@@ -16,9 +16,9 @@ def components(links: DataFrame) -> DataFrame:
 
     links: two columns of one ordered type, either direction, repeats and loops allowed
     (loops and rows with nulls say nothing and are dropped). Nodes without links don't appear. Each
-    round is two joins on the smaller node, which adaptive execution may split where a
-    node has very many links; no list of neighbours is ever built. A round's links are
-    written to the shared folder and the round before is deleted.
+    round is two joins on the smaller node; both sides of each are written tables, so that adaptive
+    execution may split the rows of a node that has very many links; no list of neighbours is ever built.
+    Links of past rounds are deleted.
     """
     a, b = (F.col(f"`{c}`") for c in links.columns[:2])
     start = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
@@ -26,17 +26,18 @@ def components(links: DataFrame) -> DataFrame:
     now, path = scratch.write(start)
     for _ in range(MOST_ROUNDS):
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m")).select(F.col("hi").alias("u"), "m")
+        least, used = scratch.write(both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m")).select(F.col("hi").alias("u"), "m"))
         # Large star: neighbours above u go to u's smallest.
-        large = now.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct()
+        large, used2 = scratch.write(now.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct())
         # Small star: neighbours below u, and u, go to u's smallest.
-        low = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m")
+        low, used3 = scratch.write(large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), "m"))
         below = large.join(low, F.col("hi") == F.col("u"))
         small = below.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select(F.col("u"), F.col("m"))).where("hi <> lo").distinct()
         after, new = scratch.write(small)
         # Done when every link goes to a root: no node is both a child and a parent, and no child has two parents.
         odd = after.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi").union(after.join(after.select(F.col("lo").alias("p")).distinct(), F.col("hi") == F.col("p"), "left_semi").select("hi"))
-        scratch.drop(path)
+        for done in (path, used, used2, used3):
+            scratch.drop(done)
         now, path = after, new
         if odd.isEmpty():
             break

@@ -14,8 +14,9 @@ chunks is a cell of its own, so no task holds a whole hot cell. Of the pairs fou
 spanning forest is passed on.
 
 Texts of null count as empty. A text without words has fingerprint 0 and links like any other.
-Equal fingerprints meet once, whatever the number of their rows. Ids may repeat. A row with a null id gets the
-component of its fingerprint (null if only such rows are in it). An empty table gives an empty result.
+Equal fingerprints meet once, whatever the number of their rows. Ids may repeat or be null: links are between
+fingerprints, so a row with a null id links like any other; component_id is null if only such rows are in a component.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_texts, table
+from .common import Scratch, fresh, map_texts, table, twin
 from .components import components
 
 WORDS = 4
@@ -176,21 +177,40 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     return blocks.where("node IS NOT NULL").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def groups_of(prints: DataFrame, best: str, distance: int, scratch: Scratch) -> DataFrame:
+    """prints (bits, best) with the least best of all fingerprints that links reach from each: (bits, best, least). Written, so that joins with it can be split."""
+    roots = components(near_links(prints.select(F.col("bits").alias("node"), "bits"), distance))
+    linked, _ = scratch.write(prints.join(roots, F.col("bits") == F.col("node")).select("bits", "root", best))
+    least = linked.groupBy("root").agg(F.min(best).alias("least"))
+    of = linked.join(least, "root").select(F.col("bits").alias("own"), "least")
+    joined = prints.join(of, F.col("bits") == F.col("own"), "left")
+    written, _ = scratch.write(joined.select("bits", best, F.when(F.col("own").isNull(), F.col(best)).otherwise(F.col("least")).alias("least")))
+    return written
+
+
 def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", distance: int = DISTANCE, words: int = WORDS) -> DataFrame:
     """(id, simhash, component_id) for each row of df; component_id is the smallest id reachable over links of `distance` bits or fewer."""
     scratch = Scratch(df.sparkSession)
     rows, _ = scratch.write(simhash(df.select(F.col(id).alias("doc"), F.col(text).alias("text")), "text", words).drop("text"))
-    prints, _ = scratch.write(rows.groupBy(F.col("simhash").alias("bits")).agg(F.min("doc").alias("node")))
-    roots = components(near_links(prints, distance))
-    of = prints.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("bits", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(of, F.col("simhash") == F.col("bits")).select(F.col("doc").alias(id), "simhash", "component_id")
+    prints, _ = scratch.write(rows.groupBy(F.col("simhash").alias("bits")).agg(F.min("doc").alias("first")))
+    of = groups_of(prints, "first", distance, scratch)
+    return rows.join(of, F.col("simhash") == F.col("bits")).select(F.col("doc").alias(id), "simhash", F.col("least").alias("component_id"))
 
 
 def drop_near_copies(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of its group, all columns as they are; rows of one id are one document, of which one row stays."""
-    groups = near_groups(df, id, text)
-    kept = groups.where(F.col(id) == F.col("component_id")).select(F.col(id).alias("__kept")).distinct()
-    return df.join(kept, df[id] == F.col("__kept"), "left_semi").dropDuplicates([id])
+    """One row of each group of near copies, all columns as they are: that of the smallest id, null ids last, among equal ids by a hash of the text.
+
+    Rows of equal id and text are one, of which one stays. Rows are known by 128 bits of hash of both, so null and repeated ids lose nothing.
+    """
+    scratch = Scratch(df.sparkSession)
+    key, key2 = fresh(df, "key", "key2")
+    whole = [F.col(f"`{id}`").isNull(), F.col(f"`{id}`"), F.col(f"`{text}`").isNull(), F.col(f"`{text}`")]
+    keyed = df.withColumn(key, F.xxhash64(*whole)).withColumn(key2, twin(*whole))
+    rows = simhash(keyed.select(F.col(f"`{id}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.col(key).alias("key"), F.col(key2).alias("key2")), "text")
+    best = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "key", "key2")
+    prints, _ = scratch.write(rows.groupBy(F.col("simhash").alias("bits")).agg(F.min(best).alias("best")))
+    stay = groups_of(prints, "best", DISTANCE, scratch).where(F.col("best") == F.col("least")).select(F.col("best.key").alias(key), F.col("best.key2").alias(key2))
+    return keyed.dropDuplicates([key, key2]).join(stay, [key, key2], "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
