@@ -7,9 +7,12 @@ a link and are skipped; others are halved and joined recursively, down to LEAF v
 all cosines are computed in double precision. The directions come from a bounded sample; they change what can be skipped, never
 a link.
 
-Distribution: intervals of INTERVAL vectors are the units. A task gets one pair of intervals of one label
-that aren't provably distant, so a label with any share of the rows is many tasks of bounded size. Tasks pass on a degree for each
-vector and a spanning forest of the links, never all pairs. Equal vectors of a label meet once, with their number as weight.
+Distribution: intervals of the sequence are the units, and a tree stands over them: an interval's parent is its partition, then FAN
+neighbours have one parent. The recursion begins there: pairs of nodes that aren't provably distant are replaced by the pairs of their
+children, level by level, so that intervals of a label never all meet each other where their boxes can tell them apart. A task gets one
+pair of intervals, and of each only the vectors that aren't distant from the other's box; a label with any share of the rows is many tasks of
+bounded size. Tasks pass on a degree for each vector and a spanning forest of the links, never all pairs. Equal vectors of a label meet
+once, with their number as weight.
 
 Vectors link with nothing that have a null label or id, are null, empty or zero, or hold null or non-finite
 components; vectors of different lengths don't link. Such rows get n_links 0 and their own id as component. Rows of one id and
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, twin
 from .components import components
 from .op4_simhash import Forest
 
@@ -35,8 +38,13 @@ COSINE = 0.93
 LEADING = 6
 #: Vectors of the sample for principal directions.
 SAMPLE = 4096
-#: Vectors of an interval; a task holds two.
-INTERVAL = 4096
+#: Vectors of an interval (a task holds two): more where there are many, so that each meets fewer others, but no more than so many bytes.
+INTERVALS = (4096, 16384)
+INTERVAL_BYTES = 16 << 20
+#: Intervals in proportion to which intervals grow.
+MANY = 256
+#: Neighbours under one node of the tree over partitions.
+FAN_BITS = 4
 LEAF = 512
 
 
@@ -104,10 +112,16 @@ class Join:
             self.between(a, b, m, d)
 
 
-def ordered(classes: DataFrame, cosine: float) -> DataFrame:
-    """classes in epsilon grid order with their interval (name) and leading coordinates."""
+def cell_width(cosine: float) -> float:
+    return float(np.sqrt(2 - 2 * cosine))
+
+
+def ordered(classes: DataFrame, cosine: float, most: int | None = None) -> DataFrame:
+    """classes in epsilon grid order with their interval (name: partition, then number in it) and leading coordinates."""
     size, turn = directions(classes)
-    width = float(np.sqrt(2 - 2 * cosine))
+    width = cell_width(cosine)
+    count = classes.count()
+    interval = most or min(INTERVALS[1], max(INTERVALS[0], count // MANY), max(256, INTERVAL_BYTES // (8 * max(1, size))))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,14 +139,14 @@ def ordered(classes: DataFrame, cosine: float) -> DataFrame:
     placed = classes.mapInArrow(project, "label int, vector array<double>, id long, weight long, lead array<double>, cells array<long>")
     placed = placed.withColumn("n", F.size("vector"))
     order = ["label", "n", "cells", "id"]
-    number = max(1, -(-classes.count() // (4 * INTERVAL)))
+    number = max(1, -(-count // (4 * interval)))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at, part = None, 0, 0
         for batch in batches:
             names = []
             for own in zip(batch.column("place").to_pylist(), batch.column("label").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if own != key or at == INTERVAL:
+                if own != key or at == interval:
                     key, at, part = own, 0, part + 1
                 at += 1
                 names.append(own[0] << 32 | part)
@@ -142,27 +156,67 @@ def ordered(classes: DataFrame, cosine: float) -> DataFrame:
     return spread.mapInArrow(name, "label int, n int, id long, weight long, vector array<double>, lead array<double>, place int, interval long")
 
 
-def linked(classes: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+AXES = range(LEADING)
+
+
+def box_of(low: list[Column], high: list[Column]) -> list[Column]:
+    return [F.struct(*[x.alias(f"x{k}") for k, x in enumerate(side)]).alias(name) for name, side in (("low", low), ("high", high))]
+
+
+def apart(low: str, high: str, low2: str, high2: str) -> Column:
+    """The squared distance of two boxes (a point is a box)."""
+    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"{low}.x{k}") - F.col(f"{high2}.x{k}"), F.col(f"{low2}.x{k}") - F.col(f"{high}.x{k}"))
+    return sum((gap(k) * gap(k) for k in AXES), F.lit(0.0))
+
+
+def interval_pairs(rows: DataFrame, reach: float, scratch: Scratch) -> DataFrame:
+    """(label, n, a, b, low, high, low2, high2): pairs a <= b of intervals that aren't provably distant, with their boxes. No vector moves for it."""
+    lead = [F.get("lead", k) for k in AXES]
+    boxes = rows.groupBy("label", "n", F.col("interval").alias("node")).agg(*box_of([F.min(x) for x in lead], [F.max(x) for x in lead]))
+    boxes, _ = scratch.write(boxes)
+    top = boxes.agg(F.max("node")).first()[0]
+    # The tree, from the intervals up to where all partitions have one node.
+    levels = [boxes.withColumn("parent", F.shiftright("node", 32))]
+    above = 0 if top is None else top >> 32
+    while True:
+        ends = [[f(F.col(f"{side}.x{k}")) for k in AXES] for f, side in ((F.min, "low"), (F.max, "high"))]
+        over = levels[-1].groupBy("label", "n", F.col("parent").alias("node")).agg(*box_of(*ends))
+        levels.append(over.withColumn("parent", F.shiftright("node", FAN_BITS)))
+        if not above:
+            break
+        above >>= FAN_BITS
+    pairs = levels[-1].select("label", "n", F.col("node").alias("a"), F.col("node").alias("b"))
+    for level in reversed(levels[:-1]):
+        left = level.select("label", "n", F.col("parent").alias("a"), F.col("node").alias("a2"), "low", "high")
+        right = level.select("label", "n", F.col("parent").alias("b"), F.col("node").alias("b2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        both = pairs.select("label", "n", "a", "b").join(left, ["label", "n", "a"]).join(right, ["label", "n", "b"])
+        near = both.where((F.col("a2") <= F.col("b2")) & (apart("low", "high", "low2", "high2") <= reach))
+        pairs = near.select("label", "n", F.col("a2").alias("a"), F.col("b2").alias("b"), "low", "high", "low2", "high2")
+    written, _ = scratch.write(pairs)
+    return written
+
+
+def linked(classes: DataFrame, cosine: float, scratch: Scratch, most: int | None = None) -> DataFrame:
     """(id, other, degree): rows with other are links of spanning forests, rows without add to a vector's degree."""
-    rows, _ = scratch.write(ordered(classes, cosine))
-    ends = [F.struct(*[f(F.get("lead", k)).alias(f"x{k}") for k in range(LEADING)]) for f in (F.min, F.max)]
-    boxes = rows.groupBy("label", "n", "interval").agg(ends[0].alias("low"), ends[1].alias("high"))
-    other = boxes.select("label", "n", F.col("interval").alias("interval2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    gap = lambda k: F.greatest(F.lit(0.0), F.col(f"low.x{k}") - F.col(f"high2.x{k}"), F.col(f"low2.x{k}") - F.col(f"high.x{k}"))
-    distance = sum(gap(k) * gap(k) for k in range(LEADING))
-    pairs = boxes.join(other, ["label", "n"]).where((F.col("interval") <= F.col("interval2")) & (distance <= 2 - 2 * cosine + 1e-9))
-    pairs = pairs.select("interval", "interval2", F.concat_ws(":", "interval", "interval2").alias("pair"))
-    sides = pairs.select("interval", "pair", F.lit(0).alias("side")).union(pairs.where("interval <> interval2").select("interval2", "pair", F.lit(1)))
+    rows, _ = scratch.write(ordered(classes, cosine, most))
+    reach, width = 2 - 2 * cosine + 1e-9, cell_width(cosine)
+    pairs = interval_pairs(rows, reach, scratch).withColumn("pair", F.concat_ws(":", "a", "b"))
+    # Sides: 0 and 1, or 2 for an interval with itself.
+    itself = F.col("a") == F.col("b")
+    sides = pairs.select(F.col("a").alias("interval"), "pair", F.when(itself, 2).otherwise(0).alias("side"), "low2", "high2")
+    sides = sides.union(pairs.where(~itself).select("b", "pair", F.lit(1), "low", "high"))
 
     def join(part: pa.Table) -> pa.Table:
-        side = np.array(part.column("side"))
-        part = part.take(pa.array(np.argsort(side, kind="stable")))
-        first = int((side == 0).sum())
+        side, lead = np.array(part.column("side")), np.array(part.column("lead").to_pylist(), float)
+        # Back in epsilon grid order, in which halves of an interval have small boxes.
+        part_order = np.lexsort((np.array(part.column("id")), *np.floor(lead / width).T[::-1], side))
+        part, side, lead = part.take(pa.array(part_order)), side[part_order], lead[part_order]
         ids = np.array(part.column("id"))
-        work = Join(unit(part.column("vector")), np.array(part.column("weight")), np.array(part.column("lead").to_pylist(), float), cosine)
-        if first == len(ids):
-            work.between(0, first, 0, first)
+        work = Join(unit(part.column("vector")), np.array(part.column("weight")), lead, cosine)
+        if side[0] == 2:
+            work.between(0, len(ids), 0, len(ids))
         else:
+            first = int((side == 0).sum())
             work.between(0, first, first, len(ids))
         edges = np.array(work.edges, np.int64).reshape(-1, 2)
         has = np.flatnonzero(work.degree)
@@ -174,7 +228,10 @@ def linked(classes: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
             }
         )
 
-    work = rows.select("interval", "id", "weight", "vector", "lead").join(sides, "interval").drop("interval")
+    work = rows.select("interval", "id", "weight", "vector", "lead").join(sides, "interval")
+    point = F.struct(*[F.get("lead", k).alias(f"x{k}") for k in AXES])
+    work = work.withColumn("point", point).where((F.col("side") == 2) | (apart("point", "point", "low2", "high2") <= reach))
+    work = work.select("pair", "side", "id", "weight", "vector", "lead")
     return work.groupBy("pair").applyInArrow(join, "id long, other long, degree long")
 
 
@@ -190,10 +247,10 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id: str = "vec_id", vect
     roots = components(found.where("other IS NOT NULL").select("id", "other"))
     of = classes.join(degrees, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
     of = of.groupBy("id").agg(F.sum(F.col("weight") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.min("root").alias("root"))
-    # Rows find their class by label and vector; of the vector two hashes (128 bits) are shuffled.
-    keys = [F.xxhash64("vector").alias("key"), F.xxhash64("vector", F.lit("twin")).alias("key2"), F.col("label")]
+    # Rows find their class by label and vector; of the vector two hashes are shuffled, the second of another seed (128 bits).
+    keys = [F.xxhash64("vector").alias("key"), twin("vector").alias("key2"), F.col("label")]
     named = raw.select("id", *[F.when(good, k).alias(n) for k, n in zip(keys, ("key", "key2", "label"), strict=True)])
-    heads = classes.select(*keys, F.col("id").alias("head"))
+    heads = classes.groupBy(*keys).agg(F.min("id").alias("head"))
     out = named.join(heads, ["key", "key2", "label"], "left").join(of.withColumnRenamed("id", "head"), "head", "left")
     component = F.coalesce("root", "head", "id")
     return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
