@@ -11,7 +11,7 @@ of each, 16 bits kept); empty slots take the value of the next filled one. Liken
 Jaccard similarity of the sets. Equal texts have equal fingerprints.
 
 Null texts count as empty; the empty text's fingerprint is all zeros, like itself and nothing else. Order of
-documents: descending id, null ids last, equal ids by text; after the last comes the first (a single document is its own next).
+documents: descending id, null ids last, equal ids by a hash of the text, descending, so that an id of very many rows spreads over stretches; after the last comes the first (a single document is its own next).
 Repeated rows each have their place. An empty table gives an empty result.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,39 +159,50 @@ def fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(df, text, [T.StructField("fingerprint", T.StringType())], step)
 
 
+#: What documents are ordered by, all descending: whether there is an id, the id, a hash of the text.
+KEY = ("named", "number", "h")
+
+
 def in_order(df: DataFrame) -> DataFrame:
     """df (id, text) in stretches of the order, each a sorted run of rows of one partition: (stretch, id, text, role).
 
     Role 0 is a row's own place; a row of role 1 is the first row of the next stretch (or of all), which the last
-    row here needs. Whole texts are shuffled once. The driver gets a sample of STRETCH-th parts of ids and one id of each stretch.
+    row here needs. Whole texts are shuffled once. The driver gets a sample of 64 keys for each stretch and one key of each.
     """
     n = df.count()
     stretches = max(1, min(MOST_STRETCHES, -(-n // STRETCH)))
-    ids = df.select("id").where("id IS NOT NULL")
-    keep = max(1, n // (64 * stretches))
-    sample = sorted((r["id"] for r in ids.where(F.pmod(F.xxhash64("id"), F.lit(keep)) == 0).collect()), reverse=True)
+    keyed = df.withColumn("named", F.col("id").isNotNull().cast("long")).withColumn("number", F.coalesce("id", F.lit(0).cast("long"))).withColumn("h", F.xxhash64("text"))
+    drawn = keyed.select(*KEY).where(F.rand(7) < min(1.0, 64 * stretches / max(1, n))).limit(128 * stretches).collect() if stretches > 1 else []
+    sample = sorted((tuple(r) for r in drawn), reverse=True)
     bounds = sorted({sample[i * len(sample) // stretches] for i in range(1, stretches)}, reverse=True) if sample else []
     literal = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    def at_or_after(i: Column) -> Column:
+        """Whether a row stands at the bound or after it."""
+        named, number, h = (F.get(literal([b[k] for b in bounds]), i) for k in range(3))
+        same = (named == F.col("named")) & ((number > F.col("number")) | ((number == F.col("number")) & (h >= F.col("h"))))
+        return (named > F.col("named")) | same
+
     if bounds:
-        # Bisection: how many bounds are at or above the id (bounds fall).
+        # Bisection: how many bounds a row stands at or after.
         steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
-        own = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(literal(bounds), at + s - 1) >= F.col("id")), at + s).otherwise(at))
-        own = F.when(F.col("id").isNull(), len(bounds)).otherwise(own)
+        own = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & at_or_after(at + s - 1), at + s).otherwise(at))
     else:
         own = F.lit(0)
-    placed = df.withColumn("stretch", own.cast("int"))
-    heads = sorted((r["stretch"], r["top"]) for r in placed.groupBy("stretch").agg(F.max("id").alias("top")).collect())
-    count = (bounds and len(bounds) or 0) + 1
-    tops, to = [None] * count, [0] * count
+    placed = keyed.withColumn("stretch", own.cast("int"))
+    heads = sorted((r["stretch"], tuple(r["top"])) for r in placed.groupBy("stretch").agg(F.max(F.struct(*KEY)).alias("top")).collect())
+    count = len(bounds) + 1
+    tops, to = [(-1, 0, 0)] * count, [0] * count
     for i, (s, top) in enumerate(heads):
         tops[s], to[s] = top, heads[i - 1][0]
-    head = F.element_at(F.split(F.lit(",".join("" if t is None else str(t) for t in tops)), ",", -1), F.col("stretch") + 1)
-    is_head = F.coalesce(F.col("id").cast("string"), F.lit("")) == head
-    before = F.element_at(literal(to), F.col("stretch") + 1).cast("int")
+    is_head = F.lit(True)
+    for k, name in enumerate(KEY):
+        is_head = is_head & (F.get(literal([t[k] for t in tops]), F.col("stretch")) == F.col(name))
+    before = F.get(literal(to), F.col("stretch")).cast("int")
     here = F.struct(F.col("stretch").alias("stretch"), F.lit(0).alias("role"))
     places = F.when(is_head, F.array(here, F.struct(before.alias("stretch"), F.lit(1).alias("role")))).otherwise(F.array(here))
-    dealt = placed.select("id", "text", F.explode(places).alias("place")).select("id", "text", "place.stretch", "place.role")
-    return dealt.repartitionById(count, "stretch").sortWithinPartitions("stretch", "role", F.col("id").desc_nulls_last(), "text")
+    dealt = placed.select("id", "text", "h", F.explode(places).alias("place")).select("id", "text", "h", "place.stretch", "place.role")
+    return dealt.repartitionById(count, "stretch").sortWithinPartitions("stretch", "role", F.col("id").desc_nulls_last(), F.col("h").desc(), "text").drop("h")
 
 
 def edited_fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
