@@ -1,10 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Every byte of a text is a position. A text is cut into windows of WINDOW bytes; in each, one gated
-recurrent unit reads forwards and one backwards, and a softmax over both states labels every position with
-probabilities of the languages. A document's probabilities are the mean over all its positions.
-The network is trained in numpy by backpropagation through time with Adam, on the driver, on windows
-of at most PER_LANG documents of each learned language (TRAIN_CHARS characters of each at most); predictions use whole texts.
+Every byte of a text is a position. One layer of gated recurrent units reads forwards and one backwards, and a softmax over both states labels
+every position with probabilities of the languages. A document's probabilities are the mean over all its positions.
+Whole texts are read, in spans of SPAN bytes side by side; in either direction a span's units first run in over the RUN_IN bytes before it, so that
+positions at its edges have a context like any other.
+The network is trained in numpy by backpropagation through time with Adam, on the driver, on windows of WINDOW bytes
+of at most PER_LANG documents of each language (SAMPLE of all, TRAIN_CHARS characters from anywhere in each); no language is too rare to be
+learned. It has HIDDEN units in each direction, more where there are many languages.
 
 Texts that are null or have no letter get `und` and score 0. Texts without positions don't exist
 otherwise. Only rows with a non-null language and a text with letters are learned from; without any such row every text is
@@ -14,6 +16,8 @@ table gives an empty result. Ties go to the language first in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -21,13 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_texts, table
+from .common import map_texts, slices, table
 
 WINDOW = 64
-HIDDEN = 8
-#: Bound of the sample: so many documents of each language, so many of the most frequent languages, so many characters of each document.
+SPAN = 256
+RUN_IN = 32
+#: Units: twice the languages, between these bounds.
+HIDDEN = (8, 64)
+#: Bound of the sample: so many documents of each language, of all languages together, and so many characters from anywhere in each document.
 PER_LANG = 400
-MOST_LANGS = 100
+SAMPLE = 40_000
 TRAIN_CHARS = 4096
 #: Windows that one step of training or prediction takes.
 TRAIN_BATCH = 384
@@ -40,8 +47,9 @@ LETTER = regex.compile(r"\p{L}")
 class Network:
     """w: for each direction input weights (3H x 256), recurrent weights (3H x H), recurrent bias of the candidate (H); then output weights (K x 2H) and bias (K)."""
 
-    def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = 7):
+    def __init__(self, classes: int, hidden: int | None = None, seed: int = 7):
         rng = np.random.default_rng(seed)
+        hidden = hidden or min(HIDDEN[1], max(HIDDEN[0], 2 * classes))
         self.h = hidden
         make = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.w = [p for _ in range(2) for p in (make(3 * hidden, 256, scale=0.3), make(3 * hidden, hidden, scale=0.3), make(hidden, 1, scale=0.0))]
@@ -125,18 +133,19 @@ class Network:
         return grads + out
 
 
-def windows(lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts at starts with lengths: the text, the start and the length of each window."""
-    per = -(-lengths // WINDOW)
+def windows(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of these lengths: the text, the offset in it and the length of each window."""
+    per = -(-lengths // size)
     of = np.repeat(np.arange(len(lengths)), per)
-    at = (np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)) * WINDOW
-    return of, starts[of] + at, np.minimum(WINDOW, lengths[of] - at)
+    at = (np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)) * size
+    return of, at, np.minimum(size, lengths[of] - at)
 
 
-def positions(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    at = start[None, :] + np.arange(WINDOW)[:, None]
-    valid = np.arange(WINDOW)[:, None] < length[None, :]
-    x = data[np.minimum(at, len(data) - 1)]
+def positions(data: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The bytes of windows, positions by windows, and which of them are in their window (None: all)."""
+    rows = np.arange(size)[:, None]
+    valid = rows < length[None, :]
+    x = data[np.minimum(start[None, :] + rows, len(data) - 1)]
     return x, None if valid.all() else valid.astype(np.float32)
 
 
@@ -149,13 +158,14 @@ def train(texts: list[str], langs: list[str]) -> tuple[list[str], Network]:
     raw = [t.encode("utf-8", "replace") for t in texts]
     lengths = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    of, start, length = windows(lengths, np.cumsum(lengths) - lengths)
+    of, at, length = windows(lengths, WINDOW)
+    start = (np.cumsum(lengths) - lengths)[of] + at
     kind = np.array([names.index(x) for x in langs])[of]
     rng, m1, m2 = np.random.default_rng(11), [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w]
     rows = [np.nonzero(kind == k)[0] for k in range(len(names))]
     for step in range(1, STEPS + 1):
         pick = np.concatenate([rng.choice(r, -(-TRAIN_BATCH // len(names))) for r in rows])
-        x, valid = positions(data, start[pick], length[pick])
+        x, valid = positions(data, start[pick], length[pick], WINDOW)
         grads = net.gradients(x, np.ones(x.shape, np.float32) if valid is None else valid, kind[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = 0.03 * min(1, 2 - 2 * step / STEPS + 0.05)
@@ -174,15 +184,26 @@ def predict(names: list[str], net: Network, texts: pa.Array) -> tuple[list[str],
     raw = [t.encode("utf-8", "replace") if k else b"" for t, k in zip(strings, known, strict=True)]
     lengths = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    of, start, length = windows(lengths, np.cumsum(lengths) - lengths)
+    of, at, length = windows(lengths, SPAN)
     total = np.zeros((len(strings), max(1, len(names))))
-    # Whole windows first, so that only the last steps need a mask.
-    order = np.argsort(-length, kind="stable")
-    for at in range(0, len(order), BATCH) if len(names) > 1 else ():
-        pick = order[at : at + BATCH]
-        x, valid = positions(data, start[pick], length[pick])
+    # What a span reads: the bytes before it and after it in its text, too.
+    before = np.minimum(at, RUN_IN)
+    read = before + length + np.minimum(RUN_IN, lengths[of] - at - length)
+    start = (np.cumsum(lengths) - lengths)[of] + at - before
+    # Spans of one shape stand together, so that few steps need a mask.
+    order = np.lexsort((before, -read))
+    batch = max(64, BATCH * 4 // max(4, len(names)))
+    for k in range(0, len(order), batch) if len(names) > 1 else ():
+        pick = order[k : k + batch]
+        x, valid = positions(data, start[pick], read[pick], int(read[pick[0]]))
         p, _ = net.labels(x, valid)
-        np.add.at(total, of[pick], (p.sum(axis=0) if valid is None else (p * valid[:, None, :]).sum(axis=0)).T)
+        head, inner = before[pick], length[pick]
+        if (head == head[0]).all() and (inner == inner[0]).all():
+            own = p[head[0] : head[0] + inner[0]].sum(axis=0)
+        else:
+            rows = np.arange(len(x))[:, None]
+            own = np.einsum("tkb,tb->kb", p, ((rows >= head) & (rows < head + inner)).astype(np.float32))
+        np.add.at(total, of[pick], own.T)
     if len(names) == 1:
         total[:, 0] = lengths
     best = total.argmax(axis=1)
@@ -199,17 +220,19 @@ def learn(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     """The network from documents that are not held out. The sample is a hash of the id away from a uniform one."""
     own = docs.select(F.col(id).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("y"))
     own = own.where(~held_out(F.col("k")) & F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("y").isNotNull())
-    counts = own.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MOST_LANGS).collect()
+    counts = own.groupBy("y").count().collect()
     if not counts:
         return [], Network(1)
-    # A hash below a language's own share of the range keeps about 1.3 x PER_LANG documents of it.
-    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["y"]), F.lit(min(1.0, 1.3 * PER_LANG / r["count"])))]), F.col("y"))
+    # Every language is learned; where there are very many, each shows fewer documents.
+    quota = max(1, min(PER_LANG, SAMPLE // len(counts)))
+    # A hash below a language's own share of the range keeps about 1.3 x quota documents of it, and a few more.
+    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["y"]), F.lit(min(1.0, (1.3 * quota + 20) / r["count"])))]), F.col("y"))
     dice = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # The limit is each language's own, so that a rare one keeps all its documents; the part of a text is dealt by the hash of its id.
     nth = F.row_number().over(Window.partitionBy("y").orderBy("dice", "k"))
     start = F.pmod(F.xxhash64("k", "y"), F.greatest(F.lit(1), F.char_length("t") - TRAIN_CHARS + 1)).cast("int") + 1
-    sample = own.withColumn("dice", dice).where(F.col("y").isin([r["y"] for r in counts]) & (F.col("dice") <= share)).select("k", "y", "dice", F.substring("t", start, F.lit(TRAIN_CHARS)).alias("t"))
-    rows = sample.withColumn("nth", nth).where(F.col("nth") <= PER_LANG).orderBy("dice", "k").select("t", "y").collect()
+    sample = own.withColumn("dice", dice).where(F.col("dice") <= share).select("k", "y", "dice", F.substring("t", start, F.lit(TRAIN_CHARS)).alias("t"))
+    rows = sample.withColumn("nth", nth).where(F.col("nth") <= quota).orderBy("dice", "k").select("t", "y").collect()
     rows = [r for r in rows if LETTER.search(r["t"])]
     return train([r["t"] for r in rows], [r["y"] for r in rows])
 
@@ -228,19 +251,24 @@ def identify(df: DataFrame, names: list[str], net: Network, text: str = "text")
 UNLEARNED = "any"
 
 
-def drop_unidentified(docs: DataFrame) -> DataFrame:
+def drop_unidentified(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without rows whose text is null or has no letter, all columns as they are.
 
-    Of the network's decisions none rejects a document: every text with a letter gets a language, whatever its score.
-    Where no row has a language to learn from, texts with letters stay too.
+    Of the network's decisions none rejects a document: every text with a letter gets a language, whatever its score and
+    whatever name the language has. Where no row has a language to learn from, texts with letters stay too.
     """
     names, net = learn(docs)
     # Nothing was learned: one name makes every text with a letter known.
     names = names or [UNLEARNED]
-    (copy,) = fresh(docs, "text")
-    # The prediction's columns must not replace columns of docs, so docs travels as one struct.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias(copy))
-    return identify(packed, names, net, copy).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                # What no language was found for scores 0; a learned language may itself be called und.
+                _, score = predict(names, net, part.column(text))
+                yield part.filter(pa.array([s > 0 for s in score], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
