@@ -15,6 +15,8 @@ that are named like added ones are replaced.
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,14 +25,16 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_texts, table
 
 #: Texts of more characters than this are cut at safe boundaries.
 PIECE_CHARS = 1 << 16
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=[ \n])")
+#: Runs of white space that the library's backtracking may not be trusted with (it overflows its stack somewhere above 100,000).
+LONG_SPACE = regex.compile(r"\p{White_Space}{4096,}+")
 
 
 @lru_cache(maxsize=4)
@@ -56,8 +60,15 @@ def pieces(text: str, most: int = PIECE_CHARS) -> list[str]:
 
 def encode(text: str | None, path: str, pattern: str = public_tokenizers.PATTERN) -> np.ndarray:
     enc = encoding(path, pattern)
-    parts = [np.array(enc.encode_ordinary(p), dtype="<u4") for p in pieces(text or "")]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    parts, start = [], 0
+    for run in LONG_SPACE.finditer(text or ""):
+        # The pattern takes a run at the end whole, any other but for its last character, which stands with what follows.
+        end = run.end() - (run.end() < len(text))
+        parts += [enc.encode_ordinary(p) for p in pieces(text[start : run.start()])]
+        parts.append(enc._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+        start = end
+    parts += [enc.encode_ordinary(p) for p in pieces((text or "")[start:])]
+    return np.concatenate([np.array(p, dtype="<u4") for p in parts])
 
 
 def decode(ids: np.ndarray, path: str, pattern: str = public_tokenizers.PATTERN) -> bytes:
@@ -66,12 +77,8 @@ def decode(ids: np.ndarray, path: str, pattern: str = public_tokenizers.PATTERN)
 
 def bpe_encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
     """df with n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers)."""
-
-    def step(texts: pa.Array) -> list[pa.Array]:
-        ids = [encode(t, path, pattern) for t in texts.to_pylist()]
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
-
-    return map_texts(df, text, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], step)
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    return bpe_round_trip(df, path, fields, lambda ids, _: (len(ids), ids.tobytes()), pattern, text, decoded=False)
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, ids: str = "ids") -> DataFrame:
@@ -83,8 +90,29 @@ def bpe_decode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTER
     return map_texts(df, ids, [T.StructField("decoded", T.BinaryType())], step)
 
 
+def bpe_round_trip(df: DataFrame, path: str, fields: list[T.StructField], made: Callable[[np.ndarray, bytes], tuple], pattern: str = public_tokenizers.PATTERN, text: str = "text", decoded: bool = True) -> DataFrame:
+    """df with `fields`, which `made` derives from each text's ids and the bytes that these decode to.
+
+    Both ways in one step: a core runs one Python worker with one rank table, and neither ids nor bytes leave it unless they are asked for.
+    """
+
+    def step(texts: pa.Array) -> list[pa.Array]:
+        rows = []
+        for t in texts:
+            ids = encode(t.as_py(), path, pattern)
+            rows.append(made(ids, decode(ids, path, pattern) if decoded else b""))
+        return [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
+
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+    return map_texts(df, text, fields, step)
+
+
+def digests(ids: np.ndarray, decoded: bytes) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe_decode(bpe_encode(docs, path).drop("text"), path)
-    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return bpe_round_trip(docs, path, fields, digests).drop("text")
