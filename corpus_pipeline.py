@@ -7,15 +7,18 @@ stage never repeats the work before it.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import Scratch, table
 from tessera.llm.op2_lines import drop_boilerplate
 from tessera.llm.op3_mixing import take_copies
 from tessera.llm.op4_simhash import drop_near_copies
-from tessera.llm.op6_bpe import bpe_decode, bpe_encode
+from tessera.llm.op6_bpe import bpe_round_trip
 from tessera.llm.op8_language import drop_unidentified
 
 
@@ -46,8 +49,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the hash of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
-    return done.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded_sha256", T.StringType())]
+    done = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path, fields, lambda ids, decoded: (len(ids), ids.tobytes(), sha256(decoded).hexdigest()))
+    return done.drop("text")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("mixing", mixing), ("bpe", bpe)]
