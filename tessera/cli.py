@@ -15,7 +15,7 @@ from .functions.text import format_bytes, format_count, format_duration, rate
 from .operators.index import TextIndex, build_index
 from .operators.search import Search
 from .plans.query import parse, point_at
-from .sources.corpus import line_stats, read_jsonl, read_lines, warnings
+from .sources.corpus import file_bytes, line_stats, read_jsonl, read_lines, warnings
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,7 +47,7 @@ def index_command(spark: SparkSession, source: str, target: str, limit: int | No
     took = time.time() - began
     s, read = TextIndex.load(spark, target).stats().first(), line_stats(read_lines(spark, source)).first()
     return (
-        f"{format_count(s['documents'])} documents of {format_count(read['lines_read'])} lines ({format_bytes(read['bytes_read'])}) in {format_duration(took)}, {format_count(rate(s['documents'], took))} a second\n"
+        f"{format_count(s['documents'])} documents of {format_count(read['lines_read'])} lines ({format_bytes(file_bytes(spark, source))}) in {format_duration(took)}, {format_count(rate(s['documents'], took))} a second\n"
         f"{format_count(s['terms'])} terms, {format_count(s['postings'])} postings, {format_count(s['positions'])} positions, {format_bytes(s['bytes'])}"
     )
 

@@ -138,6 +138,14 @@ def line_stats(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count("*").alias("lines_read"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).cast("long").alias("bytes_read"))
 
 
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """The size of a file or of all files of a folder; nothing of them is read."""
+    try:
+        return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    except AnalysisException as e:
+        raise IoError(path, e.getMessage() or "") from e
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
     """Documents of a table (doc_id, text): the first line is the title, the rest the body."""
     at = F.instr("text", "\n")

@@ -13,7 +13,7 @@ from tessera.operators.search import Search, scan_term
 from tessera.operators.sets import difference, intersect, union
 from tessera.plans.evaluate import Planner, evaluate
 from tessera.plans.query import And, Near, Not, Or, Phrase, Prefix, Term, parse
-from tessera.sources.corpus import from_documents, line_stats, lines_of, parse_lines, read_jsonl, read_lines, warnings
+from tessera.sources.corpus import file_bytes, from_documents, line_stats, lines_of, parse_lines, read_jsonl, read_lines, warnings
 from tessera.streaming.ingest import index_stream, load_stream
 
 DOCS = [
@@ -292,6 +292,7 @@ def test_jsonl(spark, tmp_path):
     assert read_jsonl(spark, str(path), 2)[0].count() == 2
     stats = line_stats(read_lines(spark, str(path))).first()
     assert (stats["lines_read"], stats["bytes_read"]) == (12, len(path.read_bytes()))
+    assert file_bytes(spark, str(path)) == len(path.read_bytes())
     with pytest.raises(IoError):
         read_lines(spark, str(tmp_path / "none"))
     good, _ = parse_lines(lines_of(spark.createDataFrame([(x,) for x in LINES], "value string"), "memory"))
