@@ -17,7 +17,7 @@ if their runs have one anchor hash. Hashes only say what to compare with what; b
    byte by byte, before anything of it is removed. A claim that fails, which takes two equal 64-bit hashes of both anchor and bytes, stops the job; another SEED
    then settles it.
 
-Place is document id, then start; null ids come first. Rows of a null or repeated id are known by 128 bits of hash of their
+Place is document id, then start; null ids come first. Rows of a null or repeated id are known by 127 bits of hash of their
 text as well, by which they are also ordered; rows of one id and one text are one document (none is a repeat of the other). Null texts
 count as empty; texts under LENGTH bytes are never touched. An empty table gives an empty result.
 """
@@ -391,8 +391,10 @@ def drop_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", most:
     # Only where an id is null or may repeat does the text's hash tell documents apart.
     repeated = df.select(number.alias("doc")).groupBy("doc").count().where("count > 1").select(F.xxhash64("doc").alias("h"))
     shared = unnamed | in_bit_map(bit_longs(repeated), F.xxhash64(number))
-    tag = lambda hashed: F.when(shared, hashed(unnamed, raw)).otherwise(F.lit(0).cast("long"))
-    placed = base.select("*", number.alias(doc), tag(F.xxhash64).alias(t1), tag(twin).alias(t2), raw.alias(body))
+    zero, half = F.lit(0).cast("long"), F.shiftrightunsigned(F.xxhash64(unnamed, raw), 1)
+    # Below zero without an id, so that these come before the least id.
+    first = F.when(unnamed, -half - 1).when(shared, half).otherwise(zero)
+    placed = base.select("*", number.alias(doc), first.alias(t1), F.when(shared, twin(unnamed, raw)).otherwise(zero).alias(t2), raw.alias(body))
     key = {doc: "doc", t1: "t1", t2: "t2"}
     docs = placed.select(*[F.col(k).alias(v) for k, v in key.items()], F.col(body).alias("text"))
     found = repeats(docs, Scratch(df.sparkSession), most).select(*[F.col(v).alias(k) for k, v in key.items()], F.col("runs").alias(runs))
