@@ -252,10 +252,12 @@ def extents(planner: Planner, expr: Expr) -> DataFrame:
         if isinstance(e, Phrase):
             return phrase(planner, e)
         if isinstance(e, Or):
-            return sides[0].union(sides[1]).distinct()
-        pair = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.s") - F.col("a.e")).between(1, e.distance)).select("a.doc_id", "a.s", "b.e")
-        left, right = sides
-        return (pair(left, right) if e.ordered else pair(left, right).union(pair(right, left))).distinct()
+            return union(*sides)
+        # One join for both orders: no two extents follow each other both ways, and the pair reaches from the first's start to the last's end.
+        follows = lambda x, y: (F.col(f"{y}.s") - F.col(f"{x}.e")).between(1, e.distance)
+        meets = follows("a", "b") if e.ordered else follows("a", "b") | follows("b", "a")
+        pairs = sides[0].alias("a").join(sides[1].alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & meets)
+        return pairs.select("a.doc_id", F.least("a.s", "b.s").alias("s"), F.greatest("a.e", "b.e").alias("e")).distinct()
 
     return fold(expr, make)
 

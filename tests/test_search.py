@@ -151,6 +151,34 @@ def test_random_phrases(many):
     held_by_both_plans([*phrases, Phrase(()), Or(Phrase(()), Term("so")), Not(Term("so"), Phrase(())), Near(Phrase(("so",)), Phrase(()), 3), Phrase(("so",))], docs, index)
 
 
+@pytest.fixture
+def dealt(spark):
+    """Even small tables come in several partitions, and adaptive execution joins some of them."""
+    own = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "(of NEAR/1 the) NEAR/3 and", "(the NEAR/2 th*) NEAR/3 (and OR la)", "(((the ONEAR/2 of) OR (of ONEAR/2 the)) ONEAR/2 and) OR (and ONEAR/2 ((the ONEAR/2 of) OR (of ONEAR/2 the)))",
+        "(((the NEAR/1 of) OR (of NEAR/1 la)) NEAR/1 and) OR (la NEAR/1 ((the NEAR/1 of) OR (of NEAR/1 la)))",
+    ],
+)
+def test_joins_of_many_partitions(dealt, query):
+    rng = random.Random(5)
+    docs = [(i, "", " ".join(rng.choices(["the", "of", "and", "la", "then", *"abcdefghij"], k=rng.randint(0, 20)))) for i in range(600)]
+    index = build_index(table(dealt, docs))
+    wanted = sorted(brute(parse(query), places(docs), [d[0] for d in docs]))
+    assert 0 < len(wanted) < 600
+    assert found(parse(query), index, "B") == wanted
+
+
 def test_long_queries(many):
     docs, index = many
     words = [f"w{i}" for i in range(1200)]
